@@ -40,8 +40,7 @@ def ip_prefix(value: Column) -> Column:
     v4 = F.regexp_extract(address, _V4_HEAD, 1)
     v6 = F.regexp_extract(address, _V6_HEAD, 1)
     return (
-        F.when(~F.contains(address, F.lit(":")) & (F.length(v4) > 0), F.concat(v4, F.lit(".0")))
-        .when(F.length(v4) > 0, F.concat(v4, F.lit(".0")))
+        F.when(F.length(v4) > 0, F.concat(v4, F.lit(".0")))
         .when(F.length(v6) > 0, F.concat(v6, F.lit("::")))
         .otherwise("")
     )
