@@ -53,7 +53,7 @@ class ClassifiedFrame:
 
 
 def read_actions(resolved: DataFrame) -> list[ColumnAction]:
-    """The action rows of ONE object, in ``position`` order if there is one."""
+    """The action rows (name, action, ...) of ONE object, in ``position`` order if there is one."""
     ordered = resolved.orderBy("position") if "position" in resolved.columns else resolved
     rows = ordered.limit(MAX_FIELDS + 1).collect()
     if len(rows) > MAX_FIELDS:
@@ -62,7 +62,6 @@ def read_actions(resolved: DataFrame) -> list[ColumnAction]:
     out = []
     for row in rows:
         values = {k: v for k, v in row.asDict().items() if k in fields and v is not None}
-        values.setdefault("name", row["field"] if "field" in row else row["column"])
         out.append(ColumnAction(**values))
     return out
 

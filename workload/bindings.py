@@ -309,7 +309,7 @@ FROM $part p JOIN (SELECT * FROM (VALUES {_values([(f'Brand#{i + 1}', t) for i,
 """
 DESCRIBED = """
 SELECT DISTINCT type, type IN ('Report', 'Dashboard', 'EmailTemplate', 'Document') AS in_folder
-FROM listing WHERE type NOT IN ('ApexTrigger', 'CustomLabel')
+FROM listing WHERE type NOT IN ('ApexTrigger', 'CustomLabel', 'ReportFolder', 'DashboardFolder')
 """
 #: Components by type and member, and those some line item of 1998 brought back.
 COMPONENTS = f"""
