@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from workload import classification, landing, narrowing, values  # noqa: F401
+from workload import classification, correlation, landing, narrowing, summaries, values  # noqa: F401
