@@ -1,3 +1,12 @@
 """Importing this module registers every query."""
 
-from workload import classification, correlation, landing, narrowing, summaries, values  # noqa: F401
+from workload import (  # noqa: F401
+    checks,
+    classification,
+    correlation,
+    landing,
+    narrowing,
+    outputs,
+    summaries,
+    values,
+)
