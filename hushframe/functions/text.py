@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hushframe import rules
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Compute ``value`` once per row and use it many times in ``body``.
+
+    Plain columns are copied into a filter that is pushed below the projection
+    which defines them; a bound variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def words(values: Sequence[str]) -> Column:
+    """Array literal of words that hold no ``|``, folded by the optimizer."""
+    return F.split(F.lit("|".join(values)), r"\|")
+
+
 def strip(value: Column) -> Column:
     """Remove leading and trailing white space of any Unicode kind."""
     return F.btrim(value, F.lit(rules.WHITESPACE))

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from hushframe import rules
 from hushframe.operators.classify import type_weight
 from hushframe.operators.ranking import ranked
+from hushframe.session import cut_lineage
 
+#: The fold holds one entry per type in one row.
+MAX_TYPES = 50_000
 _ENTRY = "array<struct<type:string,batch:bigint,head:bigint,size:bigint,weight:bigint>>"
 
 
@@ -74,9 +77,10 @@ def assign_batches(
         raise ValueError("both ceilings must be positive")
     placed = ranked(components.select("type", "member").distinct(), ["type"], ["member"], "index")
     totals = placed.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-    totals = totals.withColumn("weight", type_weight(F.col("type")).cast("bigint"))
-    # One row per type: a closed vocabulary of a few hundred names.
-    entries = F.broadcast(entry_states(totals, max_members, max_weight))
+    totals = cut_lineage(totals.withColumn("weight", type_weight(F.col("type")).cast("bigint")))
+    if totals.limit(MAX_TYPES + 1).count() > MAX_TYPES:
+        raise ValueError(f"more than {MAX_TYPES} component types")
+    entries = F.broadcast(entry_states(totals, max_members, max_weight))  # checked: one row per type
     later = F.col("batch") + 1 + F.floor((F.col("index") - F.col("head")) / F.col("size"))
     return placed.join(entries, "type").select(
         F.when(F.col("index") < F.col("head"), F.col("batch")).otherwise(later).alias("batch"),

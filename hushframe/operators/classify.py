@@ -12,17 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe import rules
-from hushframe.functions.text import strip
+from hushframe.functions.text import let, strip, words
 
 
 def first_hit(text: Column, patterns: Sequence[str]) -> Column:
     """First pattern (in list order) contained in ``text``, else NULL."""
-    words = F.array(*[F.lit(p) for p in patterns])
-    return F.get(F.filter(words, lambda word: F.contains(text, word)), F.lit(0))
+    return F.get(F.filter(words(patterns), lambda word: F.contains(text, word)), F.lit(0))
 
 
-def any_word(text: Column, words: Iterable[str]) -> Column:
-    return _any(F.contains(text, F.lit(word)) for word in words)
+def any_word(text: Column, parts: Iterable[str]) -> Column:
+    return _any(F.contains(text, F.lit(part)) for part in parts)
 
 
 def any_suffix(text: Column, suffixes: Iterable[str]) -> Column:
@@ -61,62 +60,66 @@ def classify_records(fields: DataFrame) -> DataFrame:
     ``fields`` has name, label, type, length, calculated, formula, help_text;
     rule, action, reason and special_category are added.
     """
-    kind = F.lower(F.coalesce("type", F.lit("")))
-    # The searched text is computed once, below the rule chain.
-    searched = fields.withColumn(
-        "_text",
-        F.lower(F.concat_ws("\n", F.col("name"), F.coalesce("label", F.lit("")), F.coalesce("help_text", F.lit("")))),
-    )
-    hits = searched.select(
-        "*",
-        first_hit(F.col("_text"), rules.SPECIAL_CATEGORY).alias("_special"),
-        first_hit(F.col("_text"), rules.DIRECT_PII).alias("_direct"),
-        first_hit(F.col("_text"), rules.ESSAY_NAMES).alias("_essay"),
-        first_hit(F.col("_text"), rules.IDENTIFIERS).alias("_identifier"),
-        F.when(F.col("calculated"), _formula_source(F.col("formula"))).alias("_source"),
+    blank = F.lit("")
+    text = F.lower(F.concat_ws("\n", F.col("name"), F.coalesce("label", blank), F.coalesce("help_text", blank)))
+    found = let(text, lambda t: let(_evidence(t), _records_outcome))
+    return fields.withColumn("_found", found).select(*[F.col(c) for c in fields.columns], "_found.*")
+
+
+def _evidence(text: Column) -> Column:
+    """What the rules look for, searched once per field."""
+    return F.struct(
+        first_hit(text, rules.SPECIAL_CATEGORY).alias("special"),
+        first_hit(text, rules.DIRECT_PII).alias("direct"),
+        first_hit(text, rules.ESSAY_NAMES).alias("essay"),
+        first_hit(text, rules.IDENTIFIERS).alias("identifier"),
+        F.when(F.col("calculated"), _formula_source(F.col("formula"))).alias("source"),
+        F.contains(text, F.lit("email")).alias("email"),
     )
-    has_email = F.contains(F.col("_text"), F.lit("email"))
+
+
+def _records_outcome(seen: Column) -> Column:
+    kind = F.lower(F.coalesce("type", F.lit("")))
     length = F.coalesce("length", F.lit(0))
 
     def matched(label: str, hit: str) -> Column:
-        return F.concat(F.lit(f"{label}: "), F.col(hit))
+        return F.concat(F.lit(f"{label}: "), seen[hit])
 
     cases = [
         (kind.isin("id", "reference"), _recommend("C1.1", rules.RAW, F.concat(kind, F.lit(" key, opaque outside the system")))),
         (F.lower("name").isin(*rules.PARTNER_ID_NAMES), _recommend("C1.2", rules.RAW, "opaque partner id")),
-        (F.col("_special").isNotNull(), _recommend("C1.3", rules.DROP, matched("special category", "_special"), True)),
+        (seen["special"].isNotNull(), _recommend("C1.3", rules.DROP, matched("special category", "special"), True)),
         (F.col("name") == "Name", _recommend("C1.4", rules.DROP, "plain name of a person or company")),
-        (F.col("_direct").isNotNull(), _recommend("C1.5", rules.DROP, matched("personal data", "_direct"))),
+        (seen["direct"].isNotNull(), _recommend("C1.5", rules.DROP, matched("personal data", "direct"))),
         (
             (kind == "textarea") & (length >= rules.ESSAY_TEXTAREA_LEN),
             _recommend("C1.6", rules.DROP, F.concat(F.lit("long text: "), length.cast("string"))),
         ),
         (
-            F.col("_essay").isNotNull() & (length >= rules.ESSAY_NAMED_LEN),
-            _recommend("C1.7", rules.DROP, matched("essay", "_essay")),
+            seen["essay"].isNotNull() & (length >= rules.ESSAY_NAMED_LEN),
+            _recommend("C1.7", rules.DROP, matched("essay", "essay")),
         ),
-        (F.col("_source").isNotNull(), _recommend("C1.8", rules.DROP, matched("formula reads", "_source"))),
+        (seen["source"].isNotNull(), _recommend("C1.8", rules.DROP, matched("formula reads", "source"))),
         (
             kind == "email",
             _recommend(
                 "C1.9",
                 rules.HASH_EMAIL,
-                F.when(has_email, "email type").otherwise("email type, name lacks the word"),
+                F.when(seen["email"], "email type").otherwise("email type, name lacks the word"),
             ),
         ),
-        (has_email & kind.isin(*rules.TEXT_TYPES), _recommend("C1.10", rules.HASH_EMAIL, "text that mentions email")),
-        (F.col("_identifier").isNotNull(), _recommend("C1.11", rules.HASH_ID, matched("identifier", "_identifier"))),
+        (seen["email"] & kind.isin(*rules.TEXT_TYPES), _recommend("C1.10", rules.HASH_EMAIL, "text that mentions email")),
+        (seen["identifier"].isNotNull(), _recommend("C1.11", rules.HASH_ID, matched("identifier", "identifier"))),
     ]
-    outcome = first_match(cases, _recommend("C1.12", rules.PASS, "no identifying signal"))
-    found = hits.withColumn("_found", outcome)
-    return found.select(*[F.col(c) for c in fields.columns], "_found.*")
+    return first_match(cases, _recommend("C1.12", rules.PASS, "no identifying signal"))
 
 
 def _formula_source(formula: Column) -> Column:
     """First personal field a formula mentions, in any case."""
-    text = F.lower(F.coalesce(formula, F.lit("")))
-    sources = F.array(*[F.lit(s) for s in rules.FORMULA_SOURCES])
-    return F.get(F.filter(sources, lambda source: F.contains(text, F.lower(source))), F.lit(0))
+    return let(
+        F.lower(F.coalesce(formula, F.lit(""))),
+        lambda text: F.get(F.filter(words(rules.FORMULA_SOURCES), lambda s: F.contains(text, F.lower(s))), F.lit(0)),
+    )
 
 
 # ---------------------------------------------------------------- event logs

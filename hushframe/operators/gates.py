@@ -15,12 +15,22 @@ class GateError(RuntimeError):
     """Publication is refused."""
 
 
+def _worth_searching(text: Column, category: str) -> Column:
+    """Cheap necessary condition for a hit, so most texts skip the pattern."""
+    hint = rules.LEAK_HINTS.get(category)
+    return F.contains(text, F.lit(hint)) if hint else text.isNotNull()
+
+
 def find_all(text: Column, category: str, pattern: str) -> Column:
     """Array of (category, hit) in one text."""
-    return F.transform(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda hit: F.struct(F.lit(category).alias("category"), hit.alias("hit")),
-    )
+    hits = F.when(
+        _worth_searching(text, category), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    ).otherwise(F.array().cast("array<string>"))
+    return F.transform(hits, lambda hit: F.struct(F.lit(category).alias("category"), hit.alias("hit")))
+
+
+def matches(text: Column, category: str, pattern: str) -> Column:
+    return _worth_searching(text, category) & text.rlike(pattern)
 
 
 def findings(texts: DataFrame, key: str, column: str, detectors: dict[str, str] | None = None) -> DataFrame:
@@ -87,7 +97,8 @@ def has_raw_ip(value: Column) -> Column:
 
 
 def has_clear_email(value: Column) -> Column:
-    return value.rlike(rules.LEAK_PATTERNS["email"]) & ~value.rlike(r"^[0-9a-f]{64}$")
+    # A hash has no @, so 64 hex digits never count.
+    return matches(value, "email", rules.LEAK_PATTERNS["email"])
 
 
 def is_hash_shaped(value: Column) -> Column:
@@ -114,7 +125,7 @@ def profile(frame: DataFrame, columns: Sequence[str], detectors: dict[str, str]
     counts = frame.agg(
         F.count(F.lit(1)).alias("rows"),
         *[
-            F.count_if(F.col(f"`{c}`").rlike(pattern)).alias(f"{c}|{name}")
+            F.count_if(matches(F.col(f"`{c}`"), name, pattern)).alias(f"{c}|{name}")
             for c in columns
             for name, pattern in detectors.items()
         ],

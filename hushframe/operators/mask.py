@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe import rules
@@ -52,20 +52,37 @@ class ClassifiedFrame:
         return action_table(self.frame.sparkSession, self.name, self.actions)
 
 
-def read_actions(resolved: DataFrame) -> list[ColumnAction]:
-    """The action rows (name, action, ...) of ONE object, in ``position`` order if there is one."""
-    ordered = resolved.orderBy("position") if "position" in resolved.columns else resolved
-    rows = ordered.limit(MAX_FIELDS + 1).collect()
-    if len(rows) > MAX_FIELDS:
-        raise ValueError("more fields than one table can have; filter to one object")
-    fields = ColumnAction.__dataclass_fields__
-    out = []
+def read_actions_by_object(resolved: DataFrame, objects: list[str]) -> dict[str, list[ColumnAction]]:
+    """Action rows (object, field, action, ...) of some objects, in one job.
+
+    Rows come in ``position`` order if there is one.
+    """
+    rows = _bounded(resolved.where(F.col("object").isin(objects)), MAX_FIELDS * max(len(objects), 1))
+    out: dict[str, list[ColumnAction]] = {name: [] for name in objects}
     for row in rows:
-        values = {k: v for k, v in row.asDict().items() if k in fields and v is not None}
-        out.append(ColumnAction(**values))
+        out[row["object"]].append(_action(row, "field"))
     return out
 
 
+def read_actions(resolved: DataFrame, name: str = "column") -> list[ColumnAction]:
+    """Action rows of one header."""
+    return [_action(row, name) for row in _bounded(resolved, MAX_FIELDS)]
+
+
+def _bounded(resolved: DataFrame, bound: int) -> list[Row]:
+    ordered = resolved.orderBy("position") if "position" in resolved.columns else resolved
+    rows = ordered.limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError("more fields than tables can have; name the objects to read")
+    return rows
+
+
+def _action(row: Row, name: str) -> ColumnAction:
+    known = ColumnAction.__dataclass_fields__
+    values = {k: v for k, v in row.asDict().items() if k in known and v is not None}
+    return ColumnAction(**{**values, "name": row[name]})
+
+
 def mask(frame: DataFrame, actions: Iterable[ColumnAction], key: str = "Id") -> DataFrame:
     """Project kept columns in order and transform them.
 

@@ -24,7 +24,13 @@ def _lookup(side: DataFrame, keys: tuple[str, ...], value: str, alias: str) -> D
     return side.groupBy(*keys).agg(F.max(value).alias(alias))
 
 
-def _with_plan(fields: DataFrame, overrides: DataFrame, reasons: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def _with_plan(
+    fields: DataFrame, overrides: DataFrame | None, reasons: DataFrame | None, keys: tuple[str, ...]
+) -> DataFrame:
+    """Fields with ``_override`` and ``_given``; no join without a plan."""
+    nothing = F.lit(None).cast("string")
+    if overrides is None or reasons is None:
+        return fields.withColumn("_override", nothing).withColumn("_given", nothing)
     wanted = _lookup(overrides, keys, "action", "_override")
     given = _lookup(reasons, keys, "text", "_given")
     return fields.join(wanted, list(keys), "left").join(given, list(keys), "left")
@@ -43,7 +49,10 @@ def exposure(action: Column) -> Column:
 
 
 def resolve_records(
-    fields: DataFrame, overrides: DataFrame, reasons: DataFrame, keys: tuple[str, ...] = RECORD_KEYS
+    fields: DataFrame,
+    overrides: DataFrame | None,
+    reasons: DataFrame | None,
+    keys: tuple[str, ...] = RECORD_KEYS,
 ) -> DataFrame:
     """Effective action of classified business fields.
 
@@ -83,7 +92,7 @@ def applied_action(resolved: DataFrame) -> DataFrame:
 
 
 def resolve_exposure(
-    fields: DataFrame, overrides: DataFrame, reasons: DataFrame, keys: tuple[str, ...]
+    fields: DataFrame, overrides: DataFrame | None, reasons: DataFrame | None, keys: tuple[str, ...]
 ) -> DataFrame:
     """Effective action where any more exposing override needs a reason.
 

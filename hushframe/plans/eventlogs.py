@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hushframe import rules
 from hushframe.operators import audit as audits
@@ -15,14 +16,14 @@ from hushframe.operators.resolve import event_key, first_tag_per_column, resolve
 from hushframe.sinks.text import append_slices
 from hushframe.sources.eventlog import columns_by_type, headers_per_type
 from hushframe.sources.planfile import Plan, tagged_plan_text
-from pyspark.sql import functions as F
 
 
 def resolve_columns(columns: DataFrame, plan: Plan | None = None) -> DataFrame:
     """Effective action per (event_type, column)."""
-    spark = columns.sparkSession
-    plan = plan or Plan()
     classified = classify_event_columns(columns).withColumn("key", event_key(F.col("column")))
+    if plan is None:
+        return resolve_exposure(classified, None, None, ("key",)).drop("key")
+    spark = columns.sparkSession
     overrides = plan.override_table(spark).withColumnRenamed("field", "key").select("key", "action")
     reasons = plan.reason_table(spark).withColumnRenamed("field", "key").select("key", "text")
     return resolve_exposure(classified, overrides, reasons, ("key",)).drop("key")
@@ -32,7 +33,7 @@ def actions_for(spark: SparkSession, header: list[str], plan: Plan | None = None
     """Actions of one header, in its order."""
     rows = [(position, name) for position, name in enumerate(header)]
     columns = spark.createDataFrame(rows, "position int, column string")
-    return read_actions(resolve_columns(columns, plan).withColumnRenamed("column", "name"))
+    return read_actions(resolve_columns(columns, plan))
 
 
 def anonymise(event_type: str, rows: DataFrame, plan: Plan | None = None, keep: tuple[str, ...] = ()) -> ClassifiedFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from hushframe import rules
 from hushframe.operators import audit as audits
 from hushframe.operators.classify import classify_records, schema_scan
-from hushframe.operators.gates import header_violations, require_empty
-from hushframe.operators.mask import ClassifiedFrame, mask, read_actions
+from hushframe.operators.gates import count_per_column, is_hash_shaped, require_empty
+from hushframe.operators.mask import ClassifiedFrame, mask, read_actions_by_object
 from hushframe.operators.predicate import narrowed, record_scope
 from hushframe.operators.resolve import applied_action, drift, resolve_records
-from hushframe.session import staged_path
-from hushframe.sinks.publish import publish
+from hushframe.sinks.publish import Gate, publish
+from hushframe.sinks.text import check_header
 from hushframe.sources.planfile import Plan, records_plan_text
 
 SENTINEL = "field_handling"
@@ -21,9 +21,10 @@ SENTINEL = "field_handling"
 
 def resolve_fields(fields: DataFrame, plan: Plan | None) -> DataFrame:
     """Applied action of every field (object, name, ...) under a plan."""
-    spark = fields.sparkSession
-    plan = plan or Plan()
     classified = classify_records(fields).withColumnRenamed("name", "field")
+    if plan is None:
+        return applied_action(resolve_records(classified, None, None))
+    spark = fields.sparkSession
     return applied_action(resolve_records(classified, plan.override_table(spark), plan.reason_table(spark)))
 
 
@@ -48,12 +49,24 @@ def extract(
 ) -> list[ClassifiedFrame]:
     """Masked tables of all objects in scope; nothing runs yet but the schema job."""
     names = record_scope(list(tables), plan.scope if plan else None)
-    resolved = resolve_fields(fields, plan)
-    out = []
-    for name in names:
-        actions = read_actions(resolved.where(F.col("object") == name).withColumnRenamed("field", "name"))
-        out.append(ClassifiedFrame(name, mask(narrowed(tables[name], predicate), actions), tuple(actions)))
-    return out
+    actions = read_actions_by_object(resolve_fields(fields, plan), names)
+    return [
+        ClassifiedFrame(name, mask(narrowed(tables[name], predicate), actions[name]), tuple(actions[name]))
+        for name in names
+    ]
+
+
+def value_gate(masked: list[ClassifiedFrame]) -> Gate:
+    """Hashed columns of the written tables hold hashes and nothing else."""
+
+    def check(written: dict[str, DataFrame]) -> None:
+        for table in masked:
+            hashed = [a.name for a in table.actions if a.action.startswith(rules.HASH)]
+            if hashed:
+                counts = count_per_column(written[table.name], hashed, lambda c: ~is_hash_shaped(c), "misshapen")
+                require_empty(counts.where("misshapen > 0"), f"{table.name}: hash shape")
+
+    return check
 
 
 def export(
@@ -67,24 +80,15 @@ def export(
     """Publish masked objects, their audit and their summary as one snapshot."""
     if predicate is not None and not tables:
         raise ValueError("a predicate needs explicit objects")
-    resolved = resolve_fields(fields, plan).where(F.col("object").isin(list(tables)))
     masked = extract(tables, fields, plan, predicate)
+    for table in masked:
+        check_header(table, ("Id",))
+    resolved = resolve_fields(fields, plan).where(F.col("object").isin(list(tables)))
     audit = audits.record_audit(resolved)
     if predicate is not None:
         audit = audits.where_row(audit, predicate)
-    written: dict[str, DataFrame] = {}
-    for table in masked:
-        path = staged_path(spark, table.name)
-        table.frame.write.parquet(path)
-        written[table.name] = spark.read.parquet(path)
-    published = spark.createDataFrame(
-        [(n, c) for n, frame in written.items() for c in frame.columns], "object string, field string"
-    )
-    gate = lambda _: require_empty(header_violations(published, audit), "header check")
-    known = plan.known_table(spark) if plan else None
-    flags = audits.flagged_fields(resolved, drift(resolved, known) if known is not None else resolved.limit(0), "object")
-    return publish(spark, target, {**written, "flagged_fields": flags, SENTINEL: audit}, SENTINEL, gates=(gate,))
-
-
-def dropped(resolved: DataFrame) -> DataFrame:
-    return resolved.where(F.col("action") == rules.DROP)
+    drifted = drift(resolved, plan.known_table(spark)) if plan else resolved.limit(0)
+    artefacts = {table.name: table.frame for table in masked}
+    artefacts["flagged_fields"] = audits.flagged_fields(resolved, drifted, "object")
+    artefacts[SENTINEL] = audit
+    return publish(spark, target, artefacts, SENTINEL, gates=(value_gate(masked),))

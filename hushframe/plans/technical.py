@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from hushframe import rules
 from hushframe.operators.classify import classify_technical, selectable
-from hushframe.operators.mask import ClassifiedFrame, mask, read_actions
-from hushframe.operators.ranking import cap_per_group
+from hushframe.operators.mask import ClassifiedFrame, mask, read_actions_by_object
 from hushframe.operators.resolve import resolve_exposure
 from hushframe.sinks.publish import publish
 from hushframe.sources.planfile import Plan, tagged_plan_text
@@ -31,9 +30,10 @@ def scope(only: list[str] | None, plan: Plan | None) -> list[str]:
 
 def resolve_fields(fields: DataFrame, plan: Plan | None = None, keys: tuple[str, ...] = ("object", "field")) -> DataFrame:
     """Effective action per technical field (object, name, type, queryable)."""
-    spark = fields.sparkSession
-    plan = plan or Plan()
     classified = classify_technical(selectable(fields)).withColumnRenamed("name", "field")
+    if plan is None:
+        return resolve_exposure(classified, None, None, keys)
+    spark = fields.sparkSession
     return resolve_exposure(classified, plan.override_table(spark), plan.reason_table(spark), keys)
 
 
@@ -61,16 +61,16 @@ def extract(
 
     A failure of every object ends the run.
     """
-    resolved = resolve_fields(fields, plan)
+    per_object = read_actions_by_object(resolve_fields(fields, plan), objects)
     done, skipped = [], []
     for name in objects:
         try:
             table = open_table(name)
-            actions = read_actions(resolved.where(F.col("object") == name).withColumnRenamed("field", "name"))
+            actions = per_object[name]
             if not actions:
                 raise ValueError("no safe queryable fields")
             if limit is not None:
-                table = cap_per_group(table.withColumn("_all", F.lit(1)), ["_all"], [order], limit).drop("_all")
+                table = table.orderBy(order).limit(limit) if order in table.columns else table.limit(limit)
             done.append(ClassifiedFrame(name, mask(table, actions), tuple(actions)))
         except (PySparkException, ValueError, OSError) as error:
             skipped.append((name, str(error)[: rules.SKIP_DETAIL_MAX]))

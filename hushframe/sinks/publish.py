@@ -1,8 +1,9 @@
 """Staged snapshots with a marker that is written last.
 
-Every run writes its artefacts below ``snapshots/<run>``.  Readers go through
-the marker, so a run that dies leaves the earlier snapshot in place and nothing
-has to be renamed.  Superseded snapshots can be purged after the marker is out.
+A run writes its artefacts once, below ``snapshots/<run>``.  Gates then read
+what was written, and only after that come the contract artefacts, the sentinel
+and the marker.  Readers go through the marker, so a run that dies or is refused
+leaves the earlier snapshot in place, and nothing has to be moved.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 _MARKERS = "markers"
+_MARKER = "run string, number bigint, sentinel string"
+
+Gate = Callable[[dict[str, DataFrame]], None]
 
 
 class PublishError(RuntimeError):
@@ -27,7 +31,7 @@ def _join(*parts: str) -> str:
 
 def _latest(spark: SparkSession, target: str) -> Row | None:
     try:
-        markers = spark.read.schema("run string, number bigint, sentinel string").json(_join(target, _MARKERS))
+        markers = spark.read.schema(_MARKER).json(_join(target, _MARKERS))
     except AnalysisException:
         return None
     return markers.orderBy(F.desc("number")).first()
@@ -39,23 +43,30 @@ def publish(
     artefacts: dict[str, DataFrame],
     sentinel: str,
     preceding: tuple[str, ...] = (),
-    gates: tuple[Callable[[dict[str, DataFrame]], None], ...] = (),
+    gates: tuple[Gate, ...] = (),
 ) -> str:
-    """Write all artefacts, then the contract ones, the sentinel, the marker.
+    """Write and check the tables, then the contract artefacts, then the marker.
 
-    Any gate that raises leaves the target as it was.
+    ``gates`` get the written tables, and stop the run by raising.
     """
     if sentinel not in artefacts:
         raise PublishError(f"no artefact {sentinel!r}; refusing to publish")
-    for gate in gates:
-        gate(artefacts)
     run = uuid.uuid4().hex
-    body = [n for n in sorted(artefacts) if n not in (sentinel, *preceding)]
-    for name in [*body, *[n for n in preceding if n in artefacts], sentinel]:
-        artefacts[name].write.parquet(_join(target, "snapshots", run, name))
+    held = [n for n in preceding if n in artefacts]
+    body = [n for n in sorted(artefacts) if n != sentinel and n not in held]
+
+    def write(name: str) -> DataFrame:
+        path = _join(target, "snapshots", run, name)
+        artefacts[name].write.parquet(path)
+        return spark.read.schema(artefacts[name].schema).parquet(path)
+
+    written = {name: write(name) for name in body}
+    for gate in gates:
+        gate(written)
+    for name in [*held, sentinel]:
+        write(name)
     last = _latest(spark, target)
-    number = last["number"] + 1 if last else 1
-    marker = spark.createDataFrame([(run, number, sentinel)], "run string, number bigint, sentinel string")
+    marker = spark.createDataFrame([(run, last["number"] + 1 if last else 1, sentinel)], _MARKER)
     marker.coalesce(1).write.mode("append").json(_join(target, _MARKERS))
     return run
 
@@ -69,7 +80,7 @@ def read_published(spark: SparkSession, target: str, name: str) -> DataFrame:
 
 
 def purge_superseded(spark: SparkSession, target: str) -> int:
-    """Delete snapshots the marker no longer names."""
+    """Delete snapshots the marker does not name, refused runs included."""
     last = _latest(spark, target)
     if last is None:
         return 0

@@ -46,10 +46,13 @@ def write_csv(table: ClassifiedFrame, path: str, key: str = "Id") -> None:
 
 
 def append_slices(table: ClassifiedFrame, path: str, partitions: tuple[str, ...] = ("log_date",)) -> None:
-    """Add dated slices; a rerun of a day replaces that day only."""
+    """Add dated slices; a rerun of a day replaces that day only.
+
+    Rows are rebalanced by slice: small slices become one file, and adaptive
+    execution splits a slice that holds most of the rows.
+    """
     check_header(table, partitions)
-    frame = table.frame.select(*as_cells(table.frame.drop(*partitions)).columns, *partitions)
-    frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+    table.frame.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
 def write_report(frame: DataFrame, path: str) -> None:

@@ -31,5 +31,7 @@ def parse_manifests(texts: DataFrame, column: str = "body") -> DataFrame:
     """As :func:`read_manifests`, for manifests held in a column."""
     package = F.from_xml(F.col(column), _PACKAGE)
     return _members(
-        texts.where(strip(F.col(column)) != "").select(F.explode(package["types"]).alias("t")).select("t.members", "t.name")
+        texts.where(strip(F.col(column)) != "").select(F.explode_outer(package["types"]).alias("t")).select(
+            "t.members", "t.name"
+        )
     )

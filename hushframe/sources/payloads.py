@@ -3,6 +3,9 @@
 A landing zone is a table of response bodies (one row per response); each
 reader parses the ``body`` column with an explicit schema, so nothing is
 inferred and a broken payload yields NULL instead of ending the job.
+
+Arrays are exploded with the outer form and empty rows filtered afterwards: the
+inner form makes the optimizer copy the parse into a filter and run it twice.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ def _described(bodies: DataFrame) -> DataFrame:
     parsed = F.from_json("body", _DESCRIBE)
     keys = [c for c in bodies.columns if c != "body"]
     return bodies.withColumn("_p", parsed).select(
-        *keys, F.posexplode(F.coalesce("_p.result.fields", "_p.fields")).alias("position", "f")
-    )
+        *keys, F.posexplode_outer(F.coalesce("_p.result.fields", "_p.fields")).alias("position", "f")
+    ).where(F.col("f").isNotNull())
 
 
 def read_describe(bodies: DataFrame) -> DataFrame:
@@ -102,7 +105,9 @@ def parse_pages(bodies: DataFrame, record_schema: str) -> DataFrame:
 def read_records(bodies: DataFrame, record_schema: str) -> DataFrame:
     """Record rows of result payloads."""
     keys = [c for c in bodies.columns if c != "body"]
-    return parse_pages(bodies, record_schema).select(*keys, F.explode("records").alias("r")).select(*keys, "r.*")
+    return parse_pages(bodies, record_schema).select(
+        *keys, F.explode_outer("records").alias("r")
+    ).where(F.col("r").isNotNull()).select(*keys, "r.*")
 
 
 def read_paged(bodies: DataFrame, record_schema: str, chain: str, page: str) -> DataFrame:
@@ -113,14 +118,18 @@ def read_paged(bodies: DataFrame, record_schema: str, chain: str, page: str) ->
     parsed = parse_pages(bodies, record_schema)
     stop = parsed.where("last").groupBy(chain).agg(F.min(page).alias("_stop"))
     used = parsed.join(stop, chain, "left").where(F.col("_stop").isNull() | (F.col(page) <= F.col("_stop")))
-    return used.select(chain, page, F.explode("records").alias("r")).select(chain, page, "r.*")
+    return (
+        used.select(chain, page, F.explode_outer("records").alias("r"))
+        .where(F.col("r").isNotNull())
+        .select(chain, page, "r.*")
+    )
 
 
 def read_limits(bodies: DataFrame) -> DataFrame:
     """(LimitName, Max, Remaining) of limit payloads; values that are not
     objects are ignored."""
     keys = [c for c in bodies.columns if c != "body"]
-    entries = bodies.select(*keys, F.explode(F.from_json("body", "map<string,string>")).alias("LimitName", "v"))
+    entries = bodies.select(*keys, F.explode_outer(F.from_json("body", "map<string,string>")).alias("LimitName", "v"))
     value = F.from_json("v", "Max bigint, Remaining bigint")
     return (
         entries.where(strip(F.col("v")).startswith("{"))
@@ -133,7 +142,7 @@ def read_record_counts(bodies: DataFrame) -> DataFrame:
     """(ObjectName, RecordCount) of record-count payloads."""
     keys = [c for c in bodies.columns if c != "body"]
     parsed = F.from_json("body", "sObjects array<struct<name:string,count:bigint>>")
-    return bodies.select(*keys, F.explode(parsed["sObjects"]).alias("o")).select(
+    return bodies.select(*keys, F.explode_outer(parsed["sObjects"]).alias("o")).where(F.col("o").isNotNull()).select(
         *keys, F.col("o.name").alias("ObjectName"), F.col("o.count").alias("RecordCount")
     )
 
@@ -184,7 +193,8 @@ def read_violations(bodies: DataFrame) -> DataFrame:
     keys = [c for c in bodies.columns if c != "body"]
     return (
         read_reports(bodies)
-        .select(*keys, F.explode("violations").alias("v"))
+        .select(*keys, F.explode_outer("violations").alias("v"))
+        .where(F.col("v").isNotNull())
         .withColumn("at", primary_location())
         .select(
             *keys,

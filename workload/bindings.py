@@ -336,12 +336,12 @@ SELECT l_returnflag || l_linestatus || {_text(_whole('l_quantity', 10))} AS rule
 FROM $lineitem
 """
 RISKS = f"""
-SELECT n.n_name AS org, r.r_name || 'Settings' AS SettingGroup,
+SELECT n.n_name || '-' || {_text(_whole('s.s_suppkey', 40))} AS org, r.r_name || 'Settings' AS SettingGroup,
   CASE WHEN s.s_acctbal < 0 THEN 'HIGH_RISK' WHEN s.s_acctbal < 2000 THEN 'MEDIUM_RISK'
        WHEN s.s_acctbal < 5000 THEN 'LOW_RISK' WHEN s.s_acctbal < 7000 THEN 'INFORMATIONAL'
        ELSE 'MEETS_STANDARD' END AS RiskType,
   s.s_name AS Setting, {_text('CAST(floor(s.s_acctbal) AS BIGINT)')} AS OrgValue, '5' AS StandardValue,
-  {_whole('s.s_suppkey', 40)} AS page, s.s_suppkey AS k
+  {_whole('s.s_suppkey', 8)} % 5 AS page, s.s_suppkey AS k
 FROM $supplier s JOIN $nation n ON s.s_nationkey = n.n_nationkey JOIN $region r ON n.n_regionkey = r.r_regionkey
 """
 

@@ -261,7 +261,7 @@ def _(spark, sf_dir):
 
 # ---------------------------------------------------------------- S11: health check
 def risk_pages(spark, sf_dir):
-    """Risk pages of one organisation each, 40 consecutive suppliers at most."""
+    """Risk pages; an organisation has 40 consecutive suppliers at most."""
     record = F.struct(
         F.struct(F.lit("Risk").alias("type")).alias("attributes"),
         "RiskType", "Setting", "SettingGroup", "OrgValue", "StandardValue",
@@ -282,8 +282,7 @@ def _(spark, sf_dir):
     return payloads.read_health_risks(risk_pages(spark, sf_dir))
 
 
-SCORES = """SELECT n.n_name AS org, 'id' || n.n_name AS Id, CAST(count(*) % 100 AS INT) AS Score
-FROM $supplier s JOIN $nation n ON s.s_nationkey = n.n_nationkey GROUP BY n.n_name"""
+SCORES = f"""SELECT org, 'id' || org AS Id, CAST(count(*) % 100 AS INT) AS Score FROM ({b.RISKS}) r GROUP BY org"""
 
 
 def score_bodies(spark, sf_dir):
