@@ -168,6 +168,34 @@ def _(spark, sf_dir):
     return classify.classify_event_columns(event_columns(spark, sf_dir)).select("event_type", "key", "k", "rule", "action", "recipe")
 
 
+def _register_column_rules() -> None:
+    def event_rule(rule):
+        def run(spark, sf_dir):
+            found = classify.classify_event_columns(event_columns(spark, sf_dir)).where(F.col("rule") == rule)
+            return resolve.tally(found, "key", "action", "recipe")
+
+        return run
+
+    def technical_rule(rule):
+        def run(spark, sf_dir):
+            found = classify.classify_technical(classify.selectable(technical(spark, sf_dir)))
+            return resolve.tally(found.where(F.col("rule") == rule), "object", "name", "type", "action", "recipe")
+
+        return run
+
+    for number in range(1, 8):
+        rule = f"C2.{number}"
+        sql = f"SELECT key, action, recipe, count(*) AS n FROM classified WHERE rule = '{rule}' GROUP BY ALL"
+        query(f"c2_{number}_rule", with_(**C2) + sql)(event_rule(rule))
+    for number in range(1, 10):
+        rule = f"C3.{number}"
+        sql = f"SELECT object, name, type, action, recipe, count(*) AS n FROM classified WHERE rule = '{rule}' GROUP BY ALL"
+        query(f"c3_{number}_rule", with_(**C3) + sql)(technical_rule(rule))
+
+
+_register_column_rules()
+
+
 @query("c2_rule_counts", with_(**C2) + "SELECT rule, action, recipe, count(*) AS n FROM classified GROUP BY ALL")
 def _(spark, sf_dir):
     return resolve.tally(classify.classify_event_columns(event_columns(spark, sf_dir)), "rule", "action", "recipe")

@@ -8,7 +8,6 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from hushframe import rules
-from hushframe.functions.text import strip
 from hushframe.operators import inventory
 from hushframe.operators.incremental import header_scan
 from hushframe.operators.ranking import next_page, pages
@@ -463,6 +462,3 @@ def _(spark, sf_dir):
     (masked,) = records.extract({"Account": bind(spark, sf_dir, b.ACCOUNTS)}, account_fields(spark), plan)
     return masked.frame
 
-
-def blank_to_null(value):
-    return F.nullif(strip(value), F.lit(""))

@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hushframe import rules
 from hushframe.functions import sqlnames
 from hushframe.operators import audit, gates, incremental, inventory, mask, resolve
 from hushframe.operators.batching import chunks
@@ -25,7 +24,7 @@ from workload.classification import _E_PLAN, PLAN, T_PLAN, _resolved_events, res
 from workload.landing import ENUM, PLAN_FILE, SCORES, SKIPS, account_fields, described, listing, report_bodies, risk_pages, score_bodies
 from workload.narrowing import EVENT_MASKED, GEO, event_rows, geo, logins, technical_fields
 from workload.summaries import BATCHES_SQL, LANDED, RECONCILE, applied_records, batches, components, landed, retrieved
-from workload.values import email_sql, id_sql, ip_sql, strip_sql, url_sql
+from workload.values import PATHS_SQL, SAFE_SQL, email_sql, id_sql, ip_sql, strip_sql, url_sql
 
 RUN_DAY = dt.date(2024, 1, 20)
 
@@ -361,9 +360,6 @@ def _(spark, sf_dir):
     return inventory.manifest_blocks(chunks(batches(spark, sf_dir)))
 
 
-from workload.values import PATHS_SQL, SAFE_SQL  # noqa: E402
-
-
 @query(
     "k10_rename_map",
     PATHS_SQL
@@ -478,5 +474,3 @@ def _(spark, sf_dir):
         "hf_ip_prefix(CLIENT_IP) AS ip", "hf_clean_url(URI) AS url",
     )
 
-
-MAX_SKIP_DETAIL = rules.SKIP_DETAIL_MAX

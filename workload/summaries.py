@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from hushframe import rules
-from hushframe.operators import audit, batching, classify, incremental, inventory, reports, resolve
-from hushframe.operators.incremental import header_scan, split_bad
+from hushframe.operators import audit, batching, incremental, inventory, reports, resolve
+from hushframe.operators.incremental import split_bad
 from hushframe.operators.predicate import ordered_distinct
 from hushframe.operators.ranking import cap_per_group
 from hushframe.sources.eventlog import headers_per_type
+from hushframe.sources.payloads import read_violations
 from workload import bindings as b
 from workload.base import bind, query, sql_list, table, with_
 from workload.classification import (
@@ -26,7 +25,6 @@ from workload.classification import (
     resolved_technical,
 )
 from workload.landing import ENUM, SKIPS, described, listing, report_bodies
-from hushframe.sources.payloads import read_violations
 
 
 def applied_records(spark, sf_dir):
@@ -302,12 +300,3 @@ def _(spark, sf_dir):
     rows = inventory.partial_retrieves(asked, retrieved(spark, sf_dir)).where(F.col("retrieved") > 0)
     return inventory.skip_report(rows).select("bucket", "type", "requested", "retrieved").orderBy("bucket", "type")
 
-
-HEADER_WINDOW = (dt.date(2024, 1, 5), dt.date(2024, 1, 20))
-
-
-def windowed_headers(spark, sf_dir):
-    return header_scan(bind(spark, sf_dir, b.HEADERS), *HEADER_WINDOW, time="log_ts")
-
-
-__all__ = ["classify"]
