@@ -170,6 +170,13 @@ def fingerprint(frame: DataFrame) -> DataFrame:
     )
 
 
+def same_digest(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row: rows of the left table, and whether both digests agree."""
+    digest = F.struct("rows", "sum", "xor")
+    both = fingerprint(left).union(fingerprint(right))
+    return both.agg(F.max("rows").alias("rows"), (F.min(digest) == F.max(digest)).alias("same_digest"))
+
+
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows on one side only, repeats counted."""
     return left.exceptAll(right).withColumn("side", F.lit("left")).union(

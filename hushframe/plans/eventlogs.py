@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe import rules
@@ -85,22 +85,28 @@ def export(
 
 
 def run_summary(columns: DataFrame, files: DataFrame, skipped: DataFrame) -> DataFrame:
-    """One JSON document of a run; all parts are closed vocabularies or counts."""
-    counts = audits.column_action_counts(columns).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("action", "columns")))).alias("column_action_counts")
+    """One JSON document of a run; its parts are closed vocabularies or counts."""
+    one = F.count(F.lit(1)).alias("n")
+    parts = (
+        audits.column_action_counts(columns).select(F.lit("action").alias("part"), F.col("action").alias("key"), F.col("columns").alias("n"))
+        .union(files.groupBy("event_type").agg(one).select(F.lit("type"), "event_type", "n"))
+        .union(skipped.agg(one).select(F.lit("skipped"), F.lit(""), "n"))
     )
-    per_type = files.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("records_by_type"),
-        F.sum("n").alias("files"),
-    )
-    lost = skipped.agg(F.count(F.lit(1)).alias("skipped"))
-    one_row = counts.withColumn("k", F.lit(1)).join(per_type.withColumn("k", F.lit(1)), "k")
-    one_row = one_row.join(lost.withColumn("k", F.lit(1)), "k")
-    return one_row.select(
+
+    def as_map(part: str) -> Column:
+        entries = F.collect_list(F.when(F.col("part") == part, F.struct("key", "n")))
+        return F.map_from_entries(F.array_sort(entries))
+
+    def total(part: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("part") == part, F.col("n"))), F.lit(0))
+
+    return parts.agg(
+        as_map("action").alias("column_action_counts"),
+        as_map("type").alias("records_by_type"),
+        total("type").alias("files"),
+        total("skipped").alias("skipped"),
+    ).select(
         audits.json_document(
-            column_action_counts=F.col("column_action_counts"),
-            records_by_type=F.col("records_by_type"),
-            files=F.col("files"),
-            skipped=F.col("skipped"),
+            **{c: F.col(c) for c in ("column_action_counts", "records_by_type", "files", "skipped")}
         ).alias("summary")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hushframe import rules
 from hushframe.operators import audit as audits
-from hushframe.operators.classify import classify_records, schema_scan
+from hushframe.operators.classify import classify_records
 from hushframe.operators.gates import count_per_column, is_hash_shaped, require_empty
 from hushframe.operators.mask import ClassifiedFrame, mask, read_actions_by_object
 from hushframe.operators.predicate import narrowed, record_scope
@@ -36,10 +36,11 @@ def preview(fields: DataFrame, plan: Plan | None = None) -> tuple[DataFrame, Dat
 
 def plan_text(fields: DataFrame, objects: list[str]) -> str:
     """The editable plan of a few objects; their schemas bound its size."""
-    scan = schema_scan(fields.where(F.col("object").isin(objects)))
+    scan = classify_records(fields.where(F.col("object").isin(objects)))
+    if "position" in fields.columns:
+        scan = scan.orderBy("position")
     rows = [
-        (r["object"], r["field"], r["recommended_action"], r["reason"], r["special_category"])
-        for r in scan.toLocalIterator()
+        (r["object"], r["name"], r["action"], r["reason"], r["special_category"]) for r in scan.toLocalIterator()
     ]
     return records_plan_text(sorted(rows, key=lambda r: objects.index(r[0])))
 

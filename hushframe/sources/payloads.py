@@ -17,7 +17,7 @@ from hushframe.functions.text import schema_text, strip
 from hushframe.operators.classify import selectable
 
 _FIELD = (
-    "struct<name:string,label:string,type:string,length:int,custom:boolean,calculated:boolean,"
+    "struct<name:string,label:string,type:string,length:string,custom:boolean,calculated:boolean,"
     "calculatedFormula:string,inlineHelpText:string,queryable:boolean>"
 )
 _DESCRIBE = f"struct<result:struct<fields:array<{_FIELD}>>,fields:array<{_FIELD}>>"
@@ -25,7 +25,7 @@ _DESCRIBE = f"struct<result:struct<fields:array<{_FIELD}>>,fields:array<{_FIELD}
 
 def landed(spark: SparkSession, path: str) -> DataFrame:
     """Bodies of a landing folder: one file is one response."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("body")
     )
 
@@ -50,7 +50,7 @@ def read_describe(bodies: DataFrame) -> DataFrame:
             F.coalesce("f.name", text).alias("name"),
             schema_text(F.col("f.label")).alias("label"),
             F.lower(F.coalesce("f.type", text)).alias("type"),
-            F.coalesce("f.length", F.lit(0)).alias("length"),
+            F.coalesce(F.col("f.length").try_cast("int"), F.lit(0)).alias("length"),
             F.coalesce("f.custom", F.lit(False)).alias("custom"),
             F.coalesce("f.calculated", F.lit(False)).alias("calculated"),
             schema_text(F.col("f.calculatedFormula")).alias("formula"),
@@ -154,8 +154,8 @@ def read_health_scores(bodies: DataFrame) -> DataFrame:
     """Score row per organisation; NULL where the feature is not available."""
     keys = [c for c in bodies.columns if c != "body"]
     first = F.get(F.col("records"), F.lit(0))
-    return parse_pages(bodies, "Id:string,Score:int").select(
-        *keys, first["Id"].alias("Id"), first["Score"].alias("Score")
+    return parse_pages(bodies, "Id:string,Score:string").select(  # the score arrives quoted
+        *keys, first["Id"].alias("Id"), first["Score"].try_cast("int").alias("Score")
     )
 
 
