@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.functions.text import schema_text, strip
+from hushframe.functions.text import let, schema_text, strip
 from hushframe.operators.classify import selectable
 
 _FIELD = (
@@ -84,28 +84,32 @@ def objects_without_fields(bodies: DataFrame, key: str = "object") -> DataFrame:
     )
 
 
-def _page(record_schema: str) -> str:
+def _records(record_schema: str) -> str:
     records = f"array<struct<{record_schema}>>"
-    return (
-        f"struct<result:struct<records:{records}>,records:{records},done:boolean,nextRecordsUrl:string>"
-    )
+    return f"result struct<records:{records}>, records {records}"
 
 
-def parse_pages(bodies: DataFrame, record_schema: str) -> DataFrame:
-    """Pages as (keys, records, last); columns outside the schema, such as the
+def parse_records(bodies: DataFrame, record_schema: str) -> DataFrame:
+    """Pages with their records; columns outside the schema, such as the
     envelope, are not read."""
     keys = [c for c in bodies.columns if c != "body"]
-    return bodies.withColumn("_p", F.from_json("body", _page(record_schema))).select(
-        *keys,
-        F.coalesce("_p.result.records", "_p.records").alias("records"),
-        (F.coalesce("_p.done", F.lit(True)) | F.col("_p.nextRecordsUrl").isNull()).alias("last"),
+    return bodies.withColumn("_p", F.from_json("body", _records(record_schema))).select(
+        *keys, F.coalesce("_p.result.records", "_p.records").alias("records")
+    )
+
+
+def is_last_page(body: Column) -> Column:
+    """No further page: done, or nothing to follow.  Records are skipped over."""
+    return let(
+        F.from_json(body, "done boolean, nextRecordsUrl string"),
+        lambda page: F.coalesce(page["done"], F.lit(True)) | page["nextRecordsUrl"].isNull(),
     )
 
 
 def read_records(bodies: DataFrame, record_schema: str) -> DataFrame:
     """Record rows of result payloads."""
     keys = [c for c in bodies.columns if c != "body"]
-    return parse_pages(bodies, record_schema).select(
+    return parse_records(bodies, record_schema).select(
         *keys, F.explode_outer("records").alias("r")
     ).where(F.col("r").isNotNull()).select(*keys, "r.*")
 
@@ -115,9 +119,10 @@ def read_paged(bodies: DataFrame, record_schema: str, chain: str, page: str) ->
 
     Only page numbers are aggregated and joined; records are exploded after.
     """
-    parsed = parse_pages(bodies, record_schema)
-    stop = parsed.where("last").groupBy(chain).agg(F.min(page).alias("_stop"))
-    used = parsed.join(stop, chain, "left").where(F.col("_stop").isNull() | (F.col(page) <= F.col("_stop")))
+    stop = bodies.where(is_last_page(F.col("body"))).groupBy(chain).agg(F.min(page).alias("_stop"))
+    used = parse_records(
+        bodies.join(stop, chain, "left").where(F.col("_stop").isNull() | (F.col(page) <= F.col("_stop"))), record_schema
+    )
     return (
         used.select(chain, page, F.explode_outer("records").alias("r"))
         .where(F.col("r").isNotNull())
@@ -154,7 +159,7 @@ def read_health_scores(bodies: DataFrame) -> DataFrame:
     """Score row per organisation; NULL where the feature is not available."""
     keys = [c for c in bodies.columns if c != "body"]
     first = F.get(F.col("records"), F.lit(0))
-    return parse_pages(bodies, "Id:string,Score:string").select(  # the score arrives quoted
+    return parse_records(bodies, "Id:string,Score:string").select(  # the score arrives quoted
         *keys, first["Id"].alias("Id"), first["Score"].try_cast("int").alias("Score")
     )
 
@@ -169,18 +174,24 @@ def require_score(scores: DataFrame) -> None:
         raise RuntimeError("health check returned no score row")
 
 
-_REPORT = (
+_REPORT_HEAD = (
     "runDir string, violationCounts struct<total:bigint,sev1:bigint,sev2:bigint,sev3:bigint,sev4:bigint,sev5:bigint>, "
-    "versions map<string,string>, violations array<struct<rule:string,engine:string,severity:int,tags:array<string>,"
+    "versions map<string,string>"
+)
+_REPORT_FINDINGS = (
+    "violations array<struct<rule:string,engine:string,severity:int,tags:array<string>,"
     "primaryLocationIndex:int,locations:array<struct<file:string,startLine:int,startColumn:int,endLine:int,"
     "endColumn:int,comment:string>>,message:string,resources:array<string>>>"
 )
 
 
 def read_reports(bodies: DataFrame) -> DataFrame:
-    """Analysis reports as structs; an unreadable one has NULL counts."""
+    """Counts and engine versions of analysis reports, NULL when unreadable.
+
+    Findings are not in the schema, so the parser skips over them.
+    """
     keys = [c for c in bodies.columns if c != "body"]
-    return bodies.withColumn("_p", F.from_json("body", _REPORT)).select(*keys, "_p.*")
+    return bodies.withColumn("_p", F.from_json("body", _REPORT_HEAD)).select(*keys, "_p.*")
 
 
 def primary_location() -> Column:
@@ -192,8 +203,7 @@ def read_violations(bodies: DataFrame) -> DataFrame:
     """One row per finding with its primary location."""
     keys = [c for c in bodies.columns if c != "body"]
     return (
-        read_reports(bodies)
-        .select(*keys, F.explode_outer("violations").alias("v"))
+        bodies.select(*keys, F.explode_outer(F.from_json("body", _REPORT_FINDINGS)["violations"]).alias("v"))
         .where(F.col("v").isNotNull())
         .withColumn("at", primary_location())
         .select(

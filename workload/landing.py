@@ -346,7 +346,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     reports = payloads.read_reports(report_bodies(spark, sf_dir))
-    rows = reports.select(F.explode("versions").alias("engine", "version"), "violationCounts.*")
+    rows = reports.select(F.explode_outer("versions").alias("engine", "version"), "violationCounts.*")
     return rows.groupBy("engine", "version").agg(
         F.sum("total").alias("total"), F.sum("sev1").alias("sev1"), F.sum("sev5").alias("sev5")
     )
