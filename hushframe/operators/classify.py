@@ -6,6 +6,7 @@ rows of thousands of organisations needs no join and no shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,19 +21,17 @@ def first_hit(text: Column, patterns: Sequence[str]) -> Column:
     return F.get(F.filter(words(patterns), lambda word: F.contains(text, word)), F.lit(0))
 
 
-def any_word(text: Column, parts: Iterable[str]) -> Column:
-    return _any(F.contains(text, F.lit(part)) for part in parts)
+def one_of(text: Column, names: Sequence[str]) -> Column:
+    """Membership in a fixed list, as one folded literal."""
+    return F.array_contains(words(names), text)
 
 
-def any_suffix(text: Column, suffixes: Iterable[str]) -> Column:
-    return _any(F.endswith(text, F.lit(suffix)) for suffix in suffixes)
+def any_word(text: Column, parts: Iterable[str]) -> Column:
+    return text.rlike("|".join(map(re.escape, parts)))
 
 
-def _any(tests: Iterable[Column]) -> Column:
-    result = F.lit(False)
-    for test in tests:
-        result = result | test
-    return result
+def any_suffix(text: Column, suffixes: Iterable[str]) -> Column:
+    return text.rlike("(?:" + "|".join(map(re.escape, suffixes)) + r")\z")
 
 
 def first_match(cases: Sequence[tuple[Column, Column]], default: Column) -> Column:
@@ -86,8 +85,8 @@ def _records_outcome(seen: Column) -> Column:
         return F.concat(F.lit(f"{label}: "), seen[hit])
 
     cases = [
-        (kind.isin("id", "reference"), _recommend("C1.1", rules.RAW, F.concat(kind, F.lit(" key, opaque outside the system")))),
-        (F.lower("name").isin(*rules.PARTNER_ID_NAMES), _recommend("C1.2", rules.RAW, "opaque partner id")),
+        (one_of(kind, ("id", "reference")), _recommend("C1.1", rules.RAW, F.concat(kind, F.lit(" key, opaque outside the system")))),
+        (one_of(F.lower("name"), rules.PARTNER_ID_NAMES), _recommend("C1.2", rules.RAW, "opaque partner id")),
         (seen["special"].isNotNull(), _recommend("C1.3", rules.DROP, matched("special category", "special"), True)),
         (F.col("name") == "Name", _recommend("C1.4", rules.DROP, "plain name of a person or company")),
         (seen["direct"].isNotNull(), _recommend("C1.5", rules.DROP, matched("personal data", "direct"))),
@@ -108,7 +107,7 @@ def _records_outcome(seen: Column) -> Column:
                 F.when(seen["email"], "email type").otherwise("email type, name lacks the word"),
             ),
         ),
-        (seen["email"] & kind.isin(*rules.TEXT_TYPES), _recommend("C1.10", rules.HASH_EMAIL, "text that mentions email")),
+        (seen["email"] & one_of(kind, rules.TEXT_TYPES), _recommend("C1.10", rules.HASH_EMAIL, "text that mentions email")),
         (seen["identifier"].isNotNull(), _recommend("C1.11", rules.HASH_ID, matched("identifier", "identifier"))),
     ]
     return first_match(cases, _recommend("C1.12", rules.PASS, "no identifying signal"))
@@ -131,14 +130,14 @@ def event_column_outcome(name: Column) -> Column:
     """Struct(rule, action, recipe) for an event-log column name."""
     upper = F.upper(strip(F.coalesce(name, F.lit(""))))
     cases = [
-        (upper.isin(*rules.EVENT_IP) | upper.endswith("_IP"), _decide("C2.1", rules.DERIVE, "ip_prefix")),
+        (one_of(upper, rules.EVENT_IP) | upper.endswith("_IP"), _decide("C2.1", rules.DERIVE, "ip_prefix")),
         (
-            upper.isin(*rules.EVENT_URL) | any_suffix(upper, ("URI", "URL")),
+            one_of(upper, rules.EVENT_URL) | any_suffix(upper, ("URI", "URL")),
             _decide("C2.2", rules.DERIVE, "url_sanitise"),
         ),
-        (upper.isin(*rules.EVENT_PERSON), _decide("C2.3", rules.HASH, "id")),
-        (upper.isin(*rules.EVENT_CONTENT), _decide("C2.4", rules.DROP)),
-        (upper.isin(*rules.EVENT_KEYS) | any_suffix(upper, rules.EVENT_KEY_SUFFIXES), _decide("C2.5", rules.RAW)),
+        (one_of(upper, rules.EVENT_PERSON), _decide("C2.3", rules.HASH, "id")),
+        (one_of(upper, rules.EVENT_CONTENT), _decide("C2.4", rules.DROP)),
+        (one_of(upper, rules.EVENT_KEYS) | any_suffix(upper, rules.EVENT_KEY_SUFFIXES), _decide("C2.5", rules.RAW)),
         (
             any_suffix(upper, rules.EVENT_CONTENT_SUFFIXES) | any_word(upper, rules.EVENT_SECRET_WORDS),
             _decide("C2.6", rules.DROP),
@@ -162,22 +161,22 @@ def technical_outcome(object_name: Column, name: Column, data_type: Column) -> C
     by_outcome: dict[tuple[str, str], list[str]] = {}
     for obj, field, action, recipe in rules.CURATED:
         by_outcome.setdefault((action, recipe), []).append(f"{obj}.{field}")
-    cases = [(key.isin(*keys), _decide("C3.1", *outcome)) for outcome, keys in by_outcome.items()]
+    cases = [(one_of(key, keys), _decide("C3.1", *outcome)) for outcome, keys in by_outcome.items()]
     cases += [
-        (kind.isin("id", "reference") | any_suffix(lower, ("id", "ids")), _decide("C3.2", rules.RAW)),
+        (one_of(kind, ("id", "reference")) | any_suffix(lower, ("id", "ids")), _decide("C3.2", rules.RAW)),
         (
-            lower.endswith("ip") | lower.isin(*rules.TECHNICAL_IP_NAMES),
+            lower.endswith("ip") | one_of(lower, rules.TECHNICAL_IP_NAMES),
             _decide("C3.3", rules.DERIVE, "ip_prefix"),
         ),
         (
-            (kind == "email") | (kind.isin(*rules.TECHNICAL_TEXT_TYPES) & F.contains(lower, F.lit("email"))),
+            (kind == "email") | (one_of(kind, rules.TECHNICAL_TEXT_TYPES) & F.contains(lower, F.lit("email"))),
             _decide("C3.4", rules.HASH, "email"),
         ),
         ((kind == "phone") | any_word(lower, ("phone", "mobile")), _decide("C3.5", rules.DROP)),
         ((kind == "url") | any_suffix(lower, ("url", "uri")), _decide("C3.6", rules.DERIVE, "url_sanitise")),
         (any_word(lower, rules.FINE_GEO), _decide("C3.7", rules.DROP)),
         (any_word(lower, rules.COARSE_GEO), _decide("C3.7", rules.PASS)),
-        (any_word(lower, rules.FREE_TEXT) | lower.isin(*rules.LABEL_NAMES), _decide("C3.8", rules.DROP)),
+        (any_word(lower, rules.FREE_TEXT) | one_of(lower, rules.LABEL_NAMES), _decide("C3.8", rules.DROP)),
     ]
     return first_match(cases, _decide("C3.9", rules.PASS))
 
@@ -213,7 +212,7 @@ def type_weight(component_type: Column) -> Column:
     by_weight: dict[int, list[str]] = {}
     for name, weight in rules.TYPE_WEIGHTS.items():
         by_weight.setdefault(weight, []).append(name)
-    cases = [(component_type.isin(*names), F.lit(weight)) for weight, names in by_weight.items()]
+    cases = [(one_of(component_type, names), F.lit(weight)) for weight, names in by_weight.items()]
     return first_match(cases, F.lit(rules.DEFAULT_WEIGHT))
 
 
