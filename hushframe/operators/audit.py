@@ -89,6 +89,18 @@ def record_summary(audit: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
+def object_summaries(audit: DataFrame, *keys: str) -> DataFrame:
+    """One JSON document per technical object: kept columns and action counts."""
+    per_action = action_counts(audit, *keys)
+    entry = F.struct("action", "fields")  # six actions at most
+    return per_action.groupBy(*keys).agg(
+        json_document(
+            columns=F.sum(F.when(F.col("action") != "DROP", F.col("fields")).otherwise(0)),
+            action_counts=F.map_from_entries(F.array_sort(F.collect_list(entry))),
+        ).alias("summary")
+    )
+
+
 def success_counts(outcomes: DataFrame) -> DataFrame:
     """Objects that worked and that were skipped."""
     return outcomes.agg(

@@ -42,15 +42,18 @@ def shared_dir(spark: SparkSession) -> str:
     without that setting gets a folder of its own.
     """
     context = spark.sparkContext
+    current = context.getCheckpointDir()
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
+    if named:
+        if current is None:
+            context.setCheckpointDir(named)
+        return named
+    if current is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = os.path.join(tempfile.gettempdir(), f"hushframe-{context.applicationId}")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named
+        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"hushframe-{context.applicationId}"))
+        current = context.getCheckpointDir()
+    return current
 
 
 def staged_path(spark: SparkSession, name: str) -> str:

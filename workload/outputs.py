@@ -317,6 +317,24 @@ def _(spark, sf_dir):
     )
 
 
+@query(
+    "k7_technical_summary",
+    with_(**T_PLAN)
+    + """SELECT org, object, count(*) FILTER (action <> 'DROP') AS columns, count(*) FILTER (action = 'DERIVE') AS derived,
+ count(*) FILTER (action = 'RAW') AS raw FROM applied GROUP BY org, object""",
+)
+def _(spark, sf_dir):
+    summary = audit.object_summaries(resolved_technical(spark, sf_dir), "org", "object")
+    parsed = F.from_json("summary", "columns bigint, action_counts map<string,bigint>")
+
+    def count_of(action):
+        return F.coalesce(F.col("s.action_counts")[action], F.lit(0)).cast("bigint")
+
+    return summary.select("org", "object", parsed.alias("s")).select(
+        "org", "object", "s.columns", count_of("DERIVE").alias("derived"), count_of("RAW").alias("raw")
+    )
+
+
 def all_skips(spark, sf_dir):
     lost = inventory.listing_skips(described(spark, sf_dir), listing(spark, sf_dir))
     return lost.unionByName(inventory.partial_retrieves(components(spark, sf_dir), retrieved(spark, sf_dir)))

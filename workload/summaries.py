@@ -9,6 +9,7 @@ from hushframe.operators import audit, batching, incremental, inventory, reports
 from hushframe.operators.incremental import split_bad
 from hushframe.operators.predicate import ordered_distinct
 from hushframe.operators.ranking import cap_per_group
+from hushframe.plans import inventory as inventory_plan
 from hushframe.sources.eventlog import headers_per_type
 from hushframe.sources.payloads import read_violations
 from workload import bindings as b
@@ -113,16 +114,22 @@ _FOLD = f"""SELECT 0 AS i, CAST(1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c, CAST(
        CASE WHEN f.c >= {MAX_MEMBERS} OR f.w >= {MAX_WEIGHT} THEN 0 ELSE f.c END AS c0,
        CASE WHEN f.c >= {MAX_MEMBERS} OR f.w >= {MAX_WEIGHT} THEN 0 ELSE f.w END AS w0
      FROM fold f JOIN totals t ON t.i = f.i + 1) s) s2"""
-BATCHES_SQL = "WITH RECURSIVE " + with_(
-    comps=b.COMPONENTS,
-    kept=f"SELECT DISTINCT type, member FROM comps WHERE type NOT IN ({sql_list(rules.DENIED)})",
-    totals=f"""SELECT type, n, CAST({_WEIGHT} AS BIGINT) AS wt, row_number() OVER (ORDER BY type) AS i
+def batches_sql(**source: str) -> str:
+    """The batch rule over ``comps``, the last of the given bindings."""
+    return "WITH RECURSIVE " + with_(
+        **source,
+        kept=f"SELECT DISTINCT type, member FROM comps WHERE type NOT IN ({sql_list(rules.DENIED)})",
+        totals=f"""SELECT type, n, CAST({_WEIGHT} AS BIGINT) AS wt, row_number() OVER (ORDER BY type) AS i
  FROM (SELECT type, count(*) AS n FROM kept GROUP BY type) t""",
-    fold=_FOLD,
-    placed="SELECT type, member, row_number() OVER (PARTITION BY type ORDER BY member) - 1 AS p FROM kept",
-    batches="""SELECT CASE WHEN p < k1 THEN b0 ELSE b0 + 1 + (p - k1) // k END AS batch, d.type, d.member, wt AS weight
+        fold=_FOLD,
+        placed="SELECT type, member, row_number() OVER (PARTITION BY type ORDER BY member) - 1 AS p FROM kept",
+        batches="""SELECT CASE WHEN p < k1 THEN b0 ELSE b0 + 1 + (p - k1) // k END AS batch, d.type, d.member, wt AS weight
  FROM placed d JOIN fold f ON f.type = d.type JOIN totals t ON t.type = d.type""",
-).removeprefix("WITH ")
+    ).removeprefix("WITH ")
+
+
+BATCHES_SQL = batches_sql(comps=b.COMPONENTS)
+_TOTALS = "SELECT batch, type, count(*) AS members, CAST(sum(weight) AS BIGINT) AS weight FROM batches GROUP BY ROLLUP (batch, type)"
 
 
 def batches(spark, sf_dir):
@@ -142,12 +149,18 @@ def _(spark, sf_dir):
 
 @query(
     "a9_batch_totals",
-    BATCHES_SQL + "SELECT batch, type, count(*) AS members, CAST(sum(weight) AS BIGINT) AS weight FROM batches GROUP BY ROLLUP (batch, type)",
+    BATCHES_SQL + _TOTALS,
 )
 def _(spark, sf_dir):
     return batching.batch_totals(batches(spark, sf_dir))
 
 
+@query("p10_preview_inventory", batches_sql(**ENUM, comps="SELECT type, member FROM components") + _TOTALS)
+def _(spark, sf_dir):
+    totals, _, _ = inventory_plan.preview(described(spark, sf_dir), listing(spark, sf_dir), MAX_MEMBERS, MAX_WEIGHT)
+    return totals
+
+
 @query(
     "w4_cap_per_object",
     """SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS p
