@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import lines, mixing, quality
+from hushframe.llm import lines, mixing, quality, simhash
 from hushframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~quality.failed("v1")).alias("kept"),
         "failed_bits",
     )
+
+
+@query("op8_simhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components_of(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), simhash.hex_of("fp").alias("fingerprint"), F.col("component").alias("component_id")
+    )
