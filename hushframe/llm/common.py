@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +53,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = staged_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of the large column that a Python step handles at once.
+SLICE_BYTES = 8 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``limit`` bytes, so that long texts do not add up in a worker."""
+    for batch in batches:
+        size = max(1, batch.column(column).nbytes)
+        step = max(1, batch.num_rows * limit // size) if size > limit else max(1, batch.num_rows)
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
