@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import bpe, lines, mixing, quality, simhash
+from hushframe.llm import bpe, lines, mixing, quality, simhash, substrings
 from hushframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,30 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    "op3_substring_dedup",
+    f"""
+    WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+    w AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS key
+          FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM d WHERE len(words) >= 13)),
+    m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY key) AS least FROM w),
+    c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM m WHERE least < doc_id),
+    p AS (SELECT d.doc_id, u.pos, u.word
+          FROM d, LATERAL (SELECT unnest(d.words) AS word, generate_subscripts(d.words, 1) AS pos) u),
+    k AS (SELECT p.doc_id, count(*) AS n_words, CAST(count(c.pos) AS BIGINT) AS n_removed,
+                 string_agg(word, ' ' ORDER BY p.pos) FILTER (c.pos IS NULL) AS kept
+          FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.pos = c.pos GROUP BY p.doc_id)
+    SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+           sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN k USING (doc_id)
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.kept(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_removed",
+        F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"),
+    )
