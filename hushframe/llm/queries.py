@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import bpe, lines, mixing, quality, simhash, substrings
+from hushframe.llm import bpe, lines, mixing, quality, simhash, substrings, tokens, warc
 from hushframe.llm.common import table
+from hushframe.session import staged_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -182,3 +183,40 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_removed",
         F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+COUNTED = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokens.token_counts(table(spark, sf_dir, "documents"), COUNTED)
+    return counted.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit")
+    )
+
+
+@query(
+    "op9_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+    h AS (SELECT payload_digest, max(page_id) AS holder FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN page_id <> holder THEN holder END AS refers_to
+    FROM d LEFT JOIN h USING (payload_digest)
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = staged_path(spark, "warc")
+    warc.write(pages, path)
+    kind = pages.schema["page_id"].dataType
+    return warc.read(spark, path).select(
+        F.col("page").cast(kind).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
