@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -138,30 +138,33 @@ def _codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, row, ids) per row of ``docs``; ``ranks`` is a path every executor can read."""
-    rows = docs.select(F.col(key).alias("id"), row_key(text).alias("row"), text_of(text).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+def encode(
+    docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()
+) -> DataFrame:
+    """(id, row, ids) and the columns to ``carry`` per row of ``docs``; ``ranks`` is a path every executor can read."""
+    rows = docs.select(F.col(key).alias("id"), row_key(text).alias("row"), *[F.col(f"`{c}`") for c in carry], text_of(text).alias("text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks, pattern)
         for batch in slices(batches, "text"):
-            found = [np.array(codec.encode(t.as_py()), dtype=np.int32) for t in batch.column("text")]
+            found = [np.array(codec.encode(t.as_py()), dtype=np.int32) for t in batch.column(batch.num_columns - 1)]
             offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
             ids = pa.ListArray.from_arrays(offsets, np.concatenate(found) if found else np.empty(0, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), ids], ["id", "row", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*batch.schema.names[:-1], "ids"])
 
-    return rows.mapInArrow(run, f"id {kind}, row bigint, ids array<int>")
+    return rows.mapInArrow(run, f"{kinds}, ids array<int>")
 
 
-def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """(id, row, ids, decoded) per row of ``encode``'s result; ``decoded`` has the bytes."""
-    kind = encoded.schema["id"].dataType.simpleString()
+def decode(encoded: DataFrame, ranks: str, pattern: str, carry: Sequence[str] = ()) -> DataFrame:
+    """``encode``'s result with ``decoded``, the bytes of the ids."""
+    rows = encoded.select("id", "row", *[F.col(f"`{c}`") for c in carry], "ids")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks, pattern)
         for batch in slices(batches, "ids"):
             decoded = pa.array([codec.decode(ids.values.to_numpy()) for ids in batch.column("ids")], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "row", "ids")), decoded], ["id", "row", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*batch.schema.names, "decoded"])
 
-    return encoded.select("id", "row", "ids").mapInArrow(run, f"id {kind}, row bigint, ids array<int>, decoded binary")
+    return rows.mapInArrow(run, f"{kinds}, decoded binary")

@@ -248,6 +248,30 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", word
     return classes(staged(fingerprints(docs, key, text, words), "fingerprints"), radius)
 
 
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs`` per group: that of the least id, and of rows that share it any one.
+
+    Rows of one id and text are one row before the join, so a row that is repeated
+    without end is reduced on the map side; the join uses the same partitioning.
+    """
+    found = components_of(docs, key, text, words, radius)
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least"))
+    chosen = first.select(F.col("least.none").alias("_none"), F.coalesce("least.id", _zero(docs, key)).alias("_id"), F.col("least.row").alias("_row"))
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+        F.col(key).isNull().alias("_none"),
+        F.coalesce(F.col(key), _zero(docs, key)).alias("_id"),
+        row_key(text).alias("_row"),
+    )
+    single = keyed.dropDuplicates(["_none", "_id", "_row"])
+    kept = single.join(chosen, ["_none", "_id", "_row"], "left_semi")
+    return kept.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
+
+
+def _zero(docs: DataFrame, key: str) -> Column:
+    return F.lit(0).cast(docs.schema[key].dataType)
+
+
 def hex_of(fp: str | Column) -> Column:
     """The fingerprint as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
