@@ -146,7 +146,10 @@ def keep_good(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFr
     cannot clash with them, and no join brings text and verdict together.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_id"), text_of(text).alias("_text"))
-    kept = _with_bits(_measured(rows)).filter(~failed(policy))
+    # The generator keeps the filter above it: pushed down, the optimizer would copy
+    # every measurement into the filter once per use.
+    judged = _with_bits(_measured(rows)).select("_id", F.explode_outer(F.array("failed_bits")).alias("failed_bits"))
+    kept = judged.filter(~failed(policy))
     return kept.select(*[F.col("_id").getField(c).alias(c) for c in docs.columns])
 
 
