@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import bpe, lines, mixing, quality, simhash, substrings, tokens, warc
+from hushframe.llm import bpe, embeddings, lines, mixing, quality, simhash, substrings, tokens, warc
 from hushframe.llm.common import table
 from hushframe.session import staged_path
 
@@ -220,3 +220,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         F.col("refers_to").cast(kind).alias("refers_to"),
     )
+
+
+@query("op2_embedding_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.linked(table(spark, sf_dir, "embeddings")).select(
+        F.col("id").alias("vec_id"),
+        "n_links",
+        F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
+    )
