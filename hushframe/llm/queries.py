@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import bpe, embeddings, lines, mixing, quality, simhash, substrings, tokens, warc
+from hushframe.llm import bpe, embeddings, licences, lines, mixing, quality, simhash, substrings, tokens, warc
 from hushframe.llm.common import table
 from hushframe.session import staged_path
 
@@ -230,3 +230,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("component").alias("component_id"),
         F.col("id").eqNullSafe(F.col("component")).alias("kept"),
     )
+
+
+@query("op6_licence_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licences.finds(docs, licences.train(docs))
+    families = F.array_sort(F.array_distinct(F.transform("finds", lambda f: f["family"])))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_paragraphs",
+        F.size("finds").cast("long").alias("n_finds"),
+        F.array_join(families, ",").alias("families"),
+    )
