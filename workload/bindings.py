@@ -7,6 +7,8 @@ rows, and the work, grow with the tables.
 
 from __future__ import annotations
 
+from hushframe import rules
+
 
 def _values(rows: list[tuple]) -> str:
     def literal(value: object) -> str:
@@ -196,14 +198,33 @@ REASONS = "SELECT object, name AS field, 'approved ' || label AS text FROM field
 KNOWN = "SELECT object, name AS field FROM fields WHERE custom = false OR length(label) % 4 <> 0"
 
 # ---------------------------------------------------------------- event columns
+#: The names that the rules fix, then names that meet a suffix, a word, or no rule.
 _EVENT_COLUMNS = (
-    "CLIENT_IP SOURCE_IP FORWARDED_FOR_IP REMOTE_ADDRESS IP_ADDRESS URI PAGE_URL REFERRER_URI LOGIN_URL "
-    "API_RESOURCE MALFORMED_URL USER_NAME DELEGATED_USER_NAME DEVICE_ID QUERY SEARCH_QUERY HTTP_HEADERS "
-    "STACK_TRACE EXCEPTION_MESSAGE DESCRIPTION FILTER SELECT CONTEXT_MAP USER_ID USER_ID_DERIVED REPORT_ID "
-    "SESSION_KEY LOGIN_KEY DEVICE_SESSION_ID URI_ID_DERIVED DATASET_IDS REQUEST_ID COUNTRY_CODE CLIENT_GEO "
-    "QUERY_TYPE KEY_PREFIX RUN_TIME EVENT_TYPE TIMESTAMP_DERIVED REPORT_DESCRIPTION ENTITY_NAME PROXY_IP "
-    "STATUS_MESSAGE BODY_TEXT REQUEST_HEADERS ACCESS_TOKEN_HINT OLD_PASSWORD_AGE CPU_TIME"
-).split()
+    *rules.EVENT_IP,
+    *rules.EVENT_URL,
+    *rules.EVENT_PERSON,
+    *rules.EVENT_CONTENT,
+    *rules.EVENT_KEYS,
+    "EDGE_IP",
+    "LANDING_URL",
+    "ICON_URI",
+    "BASKET_ID",
+    "BASKET_ID_DERIVED",
+    "LABEL_IDS",
+    "BANNER_MESSAGE",
+    "FOOTER_TEXT",
+    "TRAILING_HEADERS",
+    "PASSWORD_CHANGED_AT",
+    "SECRET_ROTATION",
+    "TOKEN_KIND",
+    "CREDENTIAL_STORE",
+    "WAREHOUSE_ZONE",
+    "ROWS_SHIPPED",
+    "IDLE_SECONDS",
+    "CARRIER",
+    "IPX_ROUTE",
+    "URL_COUNT",
+)
 N_EVENT_COLUMNS = len(_EVENT_COLUMNS)
 
 #: Columns of event-log headers in changing spelling, one row per event type and column.
