@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,19 +32,56 @@ def headers_per_type(headers: DataFrame) -> DataFrame:
     )
 
 
-def read_bodies(spark: SparkSession, paths: str | list[str], columns: list[str]) -> DataFrame:
-    """Rows of CSV files that share one header.
+def file_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, header): the first line of every file that has one; ``file`` is URL-encoded.
+
+    Rows are numbered within the block that starts a file, and a partial minimum
+    leaves one row per file before the shuffle.
+    """
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        "value",
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return lines.where(F.col("start") == 0).groupBy("file").agg(F.min_by("value", "row").alias("header"))
+
+
+def _names(header: str) -> list[str]:
+    return [name.strip() for name in next(csv.reader([header.removeprefix("\ufeff")]), [])]
+
+
+def read_bodies(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None) -> DataFrame:
+    """Rows of CSV files, each read by its own header.
 
-    All cells are text: short rows are padded with '', long ones cut.  Nothing
-    is inferred, so a file is read once.
+    Files are grouped by their real header line, and a cell belongs to the name
+    above it; of a name that stands twice in a header the last counts.  The result
+    has ``columns``, or all names of all files.  All cells are text: columns that a
+    file lacks and short rows are padded with '', cells beyond the header are cut.
+    Headers cost a scan of lines without parsing them; what comes to the driver is
+    the list of files, which Spark's own listing holds there as well.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in file_headers(spark, paths).orderBy("file").collect():
+        groups.setdefault(tuple(_names(row["header"])), []).append(unquote(row["file"]))
+    wanted = columns if columns is not None else list(dict.fromkeys(n for names in groups for n in names if n))
+    parts = [_read_group(spark, files, names, wanted) for names, files in groups.items()]
+    if not parts:
+        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in wanted]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _read_group(spark: SparkSession, files: list[str], names: tuple[str, ...], wanted: list[str]) -> DataFrame:
+    """``wanted`` columns of files whose header is ``names``; cells are named by place, as names may repeat."""
+    schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))])
     rows = (
         spark.read.schema(schema)
         .option("header", True)
         .option("multiLine", True)
         .option("escape", '"')
         .option("enforceSchema", True)
-        .csv(paths)
+        .csv(files)
     )
-    return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
+    places = {name: f"c{k}" for k, name in enumerate(names)}
+    cells = [F.coalesce(F.col(places[c]), F.lit("")) if c in places else F.lit("") for c in wanted]
+    return rows.select(*[cell.alias(c) for cell, c in zip(cells, wanted)])

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushframe.operators.incremental import completed, open_window, split_bad, window_plan
+from hushframe.plans import eventlogs
 from hushframe.sources import payloads
 from hushframe.sources.eventlog import columns_by_type, read_bodies
 
@@ -76,6 +77,25 @@ def test_event_bodies(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("1", 'say "hi", you', "x\ny"), ("2", "", ""), ("3", "b", "c"), ("4", "", "z")]
 
 
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    folder = tmp_path / "logs of a day"
+    folder.mkdir()
+    (folder / "a.csv").write_text("USER_NAME,COUNTRY_CODE\na@x.com,US\n")
+    (folder / "b.csv").write_text('"COUNTRY_CODE", USER_NAME ,EXTRA\nDE,b@x.com,1\n')
+    (folder / "c.csv").write_text("COUNTRY_CODE\nFR\n")
+    (folder / "d.csv").write_text("COUNTRY_CODE,USER_NAME,COUNTRY_CODE\nXX,d@x.com,NL\n")
+    (folder / "empty.csv").write_text("")
+    rows = read_bodies(spark, str(folder)).orderBy("COUNTRY_CODE")
+    assert rows.columns == ["USER_NAME", "COUNTRY_CODE", "EXTRA"]
+    assert [tuple(r) for r in rows.collect()] == [
+        ("b@x.com", "DE", "1"), ("", "FR", ""), ("d@x.com", "NL", ""), ("a@x.com", "US", "")]
+    shown = eventlogs.anonymise("Login", read_bodies(spark, str(folder), ["USER_NAME", "COUNTRY_CODE"])).frame
+    assert not [v for r in shown.collect() for v in r if "@" in v]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "e.csv").write_text("")
+    assert read_bodies(spark, str(tmp_path / "none"), ["A"]).collect() == []
+
+
 def test_first_header_of_a_type_wins(spark):
     rows = [("2", "Login", "A,B"), ("1", "Login", " C ,,D"), ("3", None, "E")]
     found = columns_by_type(spark.createDataFrame(rows, "Id string, EventType string, LogFileFieldNames string"))

@@ -11,7 +11,7 @@ from hushframe import rules
 from hushframe.operators import inventory
 from hushframe.operators.incremental import header_scan
 from hushframe.operators.ranking import next_page, pages
-from hushframe.plans import records
+from hushframe.plans import eventlogs, records
 from hushframe.session import staged_path
 from hushframe.sources import payloads
 from hushframe.sources.catalogue import catalogue
@@ -20,7 +20,7 @@ from hushframe.sources.manifest import parse_manifests, read_manifests
 from hushframe.sources.planfile import load_records_plan
 from workload import bindings as b
 from workload.base import bind, query, sql_list, table, with_
-from workload.values import WS, email_sql, id_sql, strip_sql
+from workload.values import WS, email_sql, id_sql, ip_sql, strip_sql
 
 PLAN_FILE = Path(__file__).parent / "files" / "account_plan.toml"
 
@@ -207,6 +207,36 @@ def _(spark, sf_dir):
     return out
 
 
+#: Headers of files of one type: in another order, with fewer and with more columns.
+_MIXED = (
+    ["event_id", "USER_NAME", "COUNTRY_CODE", "QUERY"],
+    ["COUNTRY_CODE", "event_id", "USER_NAME"],
+    ["QUERY", "COUNTRY_CODE", "RUN_TIME", "USER_NAME", "CLIENT_IP", "event_id"],
+)
+
+
+@query(
+    "s7_mixed_headers",
+    with_(e=b.EVENTS)
+    + f"""SELECT CAST(event_id AS VARCHAR) AS event_id, {id_sql('USER_NAME')} AS USER_NAME, coalesce(COUNTRY_CODE, '') AS COUNTRY_CODE,
+ CASE WHEN event_id % 3 = 2 THEN CAST(RUN_TIME AS VARCHAR) ELSE '' END AS RUN_TIME,
+ CASE WHEN event_id % 3 = 2 THEN {ip_sql('CLIENT_IP')} ELSE '' END AS CLIENT_IP FROM e""",
+)
+def _(spark, sf_dir):
+    rows = bind(spark, sf_dir, b.EVENTS)
+    path = staged_path(spark, "mixed-headers")
+    for k, header in enumerate(_MIXED):
+        (
+            rows.where(F.col("event_id") % len(_MIXED) == k)
+            .select(*header)
+            .write.mode("append")
+            .option("ignoreLeadingWhiteSpace", False)
+            .option("ignoreTrailingWhiteSpace", False)
+            .csv(path, header=True, escape='"', emptyValue="")
+        )
+    return eventlogs.anonymise("Login", read_bodies(spark, path)).frame
+
+
 _NAMES_SQL = f"list_filter(list_transform(string_split(LogFileFieldNames, ','), lambda c: trim(c, {WS})), lambda c: c <> '')"
 
 
