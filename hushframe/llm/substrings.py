@@ -128,23 +128,29 @@ def _concatenated(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - first, length) + np.arange(int(length.sum()))
 
 
-def _pack(arrays: list[np.ndarray], text: bytes) -> bytes:
-    """Arrays and text as one compressed string."""
-    head = np.array([len(a) for a in arrays], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *(a.tobytes() for a in arrays), text]))
+#: Columns of a packed string: words, its number, place, id and row of each occurrence.
+_PACKED = (np.int32, np.int32, np.int32, np.int64, np.int64)
+#: Of zstandard; packed strings are most of what is shuffled.
+LEVEL = 6
 
 
-_PACKED = (np.int32, np.int64, np.int32, np.int32, np.int64, np.int64)
+def _pack(arrays: list[np.ndarray], text: bytes) -> bytes:
+    """Arrays and text as one compressed string; numbers as steps, like bytes side by side."""
+    head = np.array([len(a) for a in arrays], np.int64).tobytes()
+    steps = [np.diff(a, prepend=a.dtype.type(0)) for a in arrays]
+    planes = [a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in steps]
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([head, *planes, text]))
 
 
 def _unpack(blob: bytes) -> tuple[list[np.ndarray], memoryview]:
     body = memoryview(zstandard.ZstdDecompressor().decompress(blob))
     counts = np.frombuffer(body[: 8 * len(_PACKED)], np.int64)
     arrays, at = [], 8 * len(_PACKED)
-    for n, kind in zip(counts, _PACKED):
-        size = int(n) * np.dtype(kind).itemsize
-        arrays.append(np.frombuffer(body[at : at + size], kind))
-        at += size
+    for n, kind in zip(counts.tolist(), _PACKED):
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(body[at : at + n * width], np.uint8).reshape(width, n)
+        arrays.append(np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind))
+        at += n * width
     return arrays, body[at:]
 
 
@@ -212,13 +218,13 @@ def _sent(words: pa.Array, begin, end, shift, ids, rows, buckets: int) -> Iterat
         yield int(mixed(rows[text[gone[:1]]].view(np.uint64))[0] % np.uint64(buckets)), True, _to_ipc(found)
     bucket = (mixed(minimiser) % np.uint64(buckets)).astype(np.int64)
     spaced = pc.binary_join_element_wise(dictionary, pa.scalar("", dictionary.type), pa.scalar(" ", dictionary.type))
-    by_bucket = np.argsort(bucket[head], kind="stable")
+    by_bucket = np.lexsort((start[head], bucket[head]))  # in the order of the texts, which packs best
     stays = order[~settled]
     stay_group = group[~settled]
     number = np.empty(len(head), np.int64)  # of the string among those of its bucket
     sizes = np.bincount(bucket[head], minlength=buckets)
     number[by_bucket] = np.arange(len(head)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    occurrence = np.argsort(bucket[stays], kind="stable")
+    occurrence = np.lexsort((start[stays], bucket[stays]))
     occurrences = np.bincount(bucket[stays], minlength=buckets)
     at_head, at_stay = np.cumsum(sizes) - sizes, np.cumsum(occurrences) - occurrences
     for b in np.flatnonzero(sizes):
@@ -230,7 +236,6 @@ def _sent(words: pa.Array, begin, end, shift, ids, rows, buckets: int) -> Iterat
         yield int(b), False, _pack(
             [
                 length[strings].astype(np.int32),
-                ids[text[strings]],
                 number[stay_group[mine]].astype(np.int32),
                 place[who].astype(np.int32),
                 ids[text[who]],
@@ -260,8 +265,12 @@ def _found(blobs: list[bytes]) -> pa.RecordBatch | None:
     """The word ranges that the packed strings of one bucket show to be repeated."""
     parts = [_unpack(b) for b in blobs]
     lengths = np.concatenate([p[0][0] for p in parts]).astype(np.int64)
-    string_ids = np.concatenate([p[0][1] for p in parts])
     strings = np.cumsum([0] + [len(p[0][0]) for p in parts])
+    occ = np.concatenate([p[0][1].astype(np.int64) + s for p, s in zip(parts, strings)])
+    place = np.concatenate([p[0][2] for p in parts]).astype(np.int64)
+    ids, rows = (np.concatenate([p[0][k] for p in parts]) for k in (3, 4))
+    string_ids = np.empty(len(lengths), np.int64)
+    string_ids[occ] = ids  # all occurrences of a string that a task sends have one id
     texts = pa.array([bytes(p[1][:-1]) for p in parts], pa.large_binary()).cast(pa.large_string())
     codes, _ = _coded(pc.split_pattern(texts, " ").flatten())
     del texts
@@ -302,9 +311,6 @@ def _found(blobs: list[bytes]) -> pa.RecordBatch | None:
     in_string, offset = string[start], at[start] - first_word[string[start]]
     per_string = np.bincount(in_string, minlength=len(lengths))
     first_run = np.cumsum(per_string) - per_string
-    occ = np.concatenate([p[0][2].astype(np.int64) + s for p, s in zip(parts, strings)])
-    place = np.concatenate([p[0][3] for p in parts]).astype(np.int64)
-    ids, rows = (np.concatenate([p[0][k] for p in parts]) for k in (4, 5))
     repeat = per_string[occ]
     run = _concatenated(first_run[occ], repeat)
     return _runs(
