@@ -1,0 +1,231 @@
+"""Near copies by exact similarity: texts whose sets of five-word shingles have Jaccard 0.8 or more.
+
+Candidates come in two rounds, and a pair links only after its whole sets are compared.
+First the vantage-point search of ``simhash`` over fingerprints of the same shingles, and
+texts that share one of ``MARKS`` least shingles, each with the least text of its bucket:
+a row per text and bucket at most, which draws large groups together.  Then, between the
+groups so found, every pair that shares a shingle of its prefix.  Two sets of similarity
+0.8 share one among the first fifth and one of each in any common order, so no pair is
+lost; the order puts shingles last that are frequent in a bounded sample, which decides
+the number of candidates alone.  Links of the first round need not be complete.
+
+Shingles are compared by their 64-bit hashes, texts by theirs.  Defined cases: null, empty
+and blank texts have no shingles and equal each other; texts of fewer words than a shingle
+are one shingle; rows that share an id are separate rows; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hushframe.llm import simhash
+from hushframe.llm.common import row_key, slices, staged, text_of
+from hushframe.llm.graph import components
+
+SHINGLE = 5
+#: Least similarity of near copies, as a fraction.
+ALIKE = (4, 5)
+
+#: Texts and characters of each that the order of shingles is fitted on at most, and the
+#: number of those texts from which a shingle is frequent.
+SAMPLE = 4096
+SAMPLE_CHARS = 20_000
+FREQUENT = 4
+#: Least-hash shingles by which the first round deals a text.
+MARKS = 6
+#: Bits that a pair of the first round may differ in; the second round has no such limit.
+NEAR = 20
+#: Prefix shingles a bucket is to hold.
+BUCKET = 1 << 17
+#: Pairs that a bucket makes at once.
+PAIRS = 1 << 22
+#: Bits of the map of texts to compare, and of one row of it.
+MAP = 1 << 23
+MAP_ROW = 1 << 15
+
+_FACTORS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def hashes(text: bytes, words: int = SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    digest, seed = xxhash.xxh64_intdigest, simhash.SEED
+    parts = set(simhash.shingles(text, words))
+    return np.unique(np.fromiter((digest(p, seed) for p in parts), np.uint64, len(parts)))
+
+
+def order_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, count) of the shingles that are frequent among ``texts``."""
+    found = [hashes(t) for t in texts]
+    values, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+    often = counts >= FREQUENT
+    return values[often], counts[often]
+
+
+def prefix(found: np.ndarray, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first hashes in the common order, enough to meet every similar set."""
+    values, counts = order
+    rank = np.zeros(len(found), np.int64)
+    if len(values):
+        at = np.minimum(np.searchsorted(values, found), len(values) - 1)
+        rank = np.where(values[at] == found, counts[at], 0)
+    upper, lower = ALIKE[1], ALIKE[0]
+    return found[np.lexsort((found, rank))][: len(found) + (-lower * len(found) // upper) + 1]
+
+
+def _sampled(docs: DataFrame, text: str) -> list[bytes]:
+    rows = docs.select(row_key(text).alias("row"), F.left(text_of(text), F.lit(SAMPLE_CHARS)).alias("text"))
+    return [r["text"].encode() for r in rows.orderBy("row").limit(SAMPLE).collect()]
+
+
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(row_key(text).alias("row"), text_of(text).cast("binary").alias("text"))
+
+
+def described(docs: DataFrame, text: str) -> DataFrame:
+    """(row, fp, n, marks) per distinct text: fingerprint, number of shingles, least hashes by several orders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            fps, sizes, marks = [], [], []
+            for t in batch.column("text"):
+                found = hashes(t.as_py())
+                fps.append(simhash.fingerprint(t.as_py(), SHINGLE))
+                sizes.append(len(found))
+                marks.append((found[:, None] * _FACTORS).min(axis=0).view(np.int64).tolist() if len(found) else [0] * MARKS)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("row"),
+                    pa.array(np.array(fps, np.uint64).view(np.int64)),
+                    pa.array(sizes, pa.int32()),
+                    pa.array(marks, pa.list_(pa.int64())),
+                ],
+                ["row", "fp", "n", "marks"],
+            )
+
+    return _texts(docs, text).mapInArrow(run, "row bigint, fp bigint, n int, marks array<bigint>").dropDuplicates(["row"])
+
+
+def _first_round(texts: DataFrame) -> DataFrame:
+    """(a, b): each text and the least of its bucket, of its fingerprint, and of the fingerprints it is linked to."""
+    points = staged(texts.groupBy("fp").agg(F.min("row").alias("least")), "points")
+    same = texts.join(points, "fp").select(F.col("row").alias("a"), F.col("least").alias("b"))
+    near = simhash.links(points.select("fp"))
+    ends = [points.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}")) for c in ("a", "b")]
+    near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    marked = texts.select("row", "fp", "n", F.posexplode("marks").alias("k", "mark"))
+    least = marked.groupBy("k", "mark").agg(F.min(F.struct("row", "fp", "n")).alias("least"))
+    lower, upper = ALIKE
+    met = marked.join(least, ["k", "mark"]).filter(
+        (F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= NEAR)
+        & (upper * F.col("n") >= lower * F.col("least.n"))
+        & (upper * F.col("least.n") >= lower * F.col("n"))
+    )
+    met = met.select(F.col("row").alias("a"), F.col("least.row").alias("b"))
+    return same.unionByName(near).unionByName(met)
+
+
+def meet(h: np.ndarray, row: np.ndarray, root: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Distinct pairs (a < b) of texts of different groups that share a prefix shingle and may be similar."""
+    order = np.lexsort((row, root, h))
+    h, row, root, n, pos = (x[order] for x in (h, row, root, n, pos))
+    new_h = np.r_[True, h[1:] != h[:-1]]
+    new_root = new_h | np.r_[True, root[1:] != root[:-1]]
+    ends = lambda starts: np.r_[np.flatnonzero(starts), len(h)][np.cumsum(starts)]
+    first = ends(new_root)
+    count = ends(new_h) - first
+    asks = np.flatnonzero(count)
+    total = np.cumsum(count[asks])
+    found, lower, whole = [np.zeros((0, 2), np.int64)], ALIKE[0], sum(ALIKE)
+    done = 0
+    while done < len(asks):
+        base = total[done - 1] if done else 0
+        stop = max(done + 1, int(np.searchsorted(total, base + PAIRS, "right")))
+        some = asks[done:stop]
+        one = np.repeat(some, count[some])
+        other = np.arange(len(one)) - np.repeat(total[done:stop] - count[some] - base, count[some]) + first[one]
+        most = np.minimum(n[one] - pos[one], n[other] - pos[other])
+        may = whole * most >= lower * (n[one] + n[other])
+        a, b = row[one[may]], row[other[may]]
+        found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
+        done = stop
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def _second_round(docs: DataFrame, text: str, texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different groups whose prefixes meet."""
+    order = order_of(_sampled(docs, text))
+    size = texts.agg(F.sum(F.col("n") / ALIKE[1] + 1)).first()[0] or 0
+    buckets = max(1024, int(size) // BUCKET)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [hashes(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("row"),
+                    pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array([prefix(s, order).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                ],
+                ["row", "n", "prefix"],
+            )
+
+    def met(table: pa.Table) -> pa.Table:
+        pairs = meet(*(table.column(c).to_numpy() for c in ("h", "row", "root", "n", "pos")))
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    first = _texts(docs, text).mapInArrow(run, "row bigint, n int, prefix array<bigint>").dropDuplicates(["row"])
+    rooted = first.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    dealt = rooted.select("row", "root", "n", F.posexplode("prefix").alias("pos", "h"))
+    return dealt.groupBy(F.pmod("h", F.lit(buckets)).alias("bucket")).applyInArrow(met, "a bigint, b bigint")
+
+
+def _wanted(pairs: DataFrame) -> np.ndarray:
+    """A map of bounded size that has a bit for each text of ``pairs``, and bits shared by others."""
+    rows = pairs.select(F.explode(F.array("a", "b")).alias("row")).select(F.pmod("row", F.lit(MAP)).alias("p"))
+    bits = rows.groupBy(F.floor(F.col("p") / MAP_ROW).alias("k")).agg(F.bitmap_construct_agg(F.col("p") % MAP_ROW).alias("bits"))
+    found = np.zeros(MAP, bool)
+    for k, held in bits.collect():
+        found[k * MAP_ROW : (k + 1) * MAP_ROW] = np.unpackbits(np.frombuffer(held, np.uint8), bitorder="little")
+    return found
+
+
+def verified(docs: DataFrame, text: str, candidates: DataFrame) -> DataFrame:
+    """Those of ``candidates`` (a, b) whose whole shingle sets are similar enough."""
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    pairs = staged(candidates.filter("a != b").select(low, high).distinct(), "candidates")
+    wanted = np.packbits(_wanted(pairs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(wanted).astype(bool)
+        for batch in slices(batches, "text"):
+            batch = batch.filter(pa.array(held[np.asarray(batch.column("row")) % MAP]))
+            sets = [hashes(t.as_py()).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sets, pa.list_(pa.int64()))], ["row", "held"])
+
+    sets = staged(_texts(docs, text).mapInArrow(run, "row bigint, held array<bigint>").dropDuplicates(["row"]), "shingles")
+    ends = [sets.select(F.col("row").alias(c), F.col("held").alias(f"_{c}")) for c in ("a", "b")]
+    both = F.size(F.array_intersect("_a", "_b"))
+    alike = sum(ALIKE) * both >= ALIKE[0] * (F.size("_a") + F.size("_b"))
+    return staged(pairs.join(ends[0], "a").join(ends[1], "b").filter(alike).select("a", "b"), "near-copies")
+
+
+def links(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(a, b): links between texts, by row key, that join exactly the groups of near copies."""
+    texts = staged(described(docs, text), "described")
+    close = verified(docs, text, _first_round(texts))
+    roots = components(close).withColumnRenamed("node", "row")
+    return close.unionByName(verified(docs, text, _second_round(docs, text, texts, roots)))
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` per group of near copies: that of the least id, and of rows that share it any one."""
+    roots = components(links(docs, text)).withColumnRenamed("node", "row")
+    rows = docs.select(F.col(key).alias("id"), row_key(text).alias("row"))
+    found = rows.join(roots, "row", "left").withColumn("component", F.coalesce("root", "row"))
+    return simhash.least_of(docs, found, key, text)

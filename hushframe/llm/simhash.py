@@ -254,7 +254,11 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     Rows of one id and text are one row before the join, so a row that is repeated
     without end is reduced on the map side; the join uses the same partitioning.
     """
-    found = components_of(docs, key, text, words, radius)
+    return least_of(docs, components_of(docs, key, text, words, radius), key, text)
+
+
+def least_of(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that are first in their component by ``found`` (id, row, component)."""
     first = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least"))
     chosen = first.select(F.col("least.none").alias("_none"), F.coalesce("least.id", _zero(docs, key)).alias("_id"), F.col("least.row").alias("_row"))
     keyed = docs.select(
