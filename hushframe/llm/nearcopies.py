@@ -2,7 +2,7 @@
 
 Candidates come in two rounds, and a pair links only after its whole sets are compared.
 First the vantage-point search of ``simhash`` over fingerprints of the same shingles, and
-texts that share one of ``MARKS`` least shingles, each with the least text of its bucket:
+texts that share one of ``MARKS`` least shingles, each with one text of its bucket, another in each:
 a row per text and bucket at most, which draws large groups together.  Then, between the
 groups so found, every pair that shares a shingle of its prefix.  Two sets of similarity
 0.8 share one among the first fifth and one of each in any common order, so no pair is
@@ -38,7 +38,7 @@ SAMPLE = 4096
 SAMPLE_CHARS = 20_000
 FREQUENT = 4
 #: Least-hash shingles by which the first round deals a text.
-MARKS = 6
+MARKS = 16
 #: Bits that a pair of the first round may differ in; the second round has no such limit.
 NEAR = 20
 #: Prefix shingles a bucket is to hold.
@@ -49,7 +49,7 @@ PAIRS = 1 << 22
 MAP = 1 << 23
 MAP_ROW = 1 << 15
 
-_FACTORS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
+_FACTORS = np.random.default_rng(simhash.SEED).integers(1 << 63, size=MARKS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def hashes(text: bytes, words: int = SHINGLE) -> np.ndarray:
@@ -112,14 +112,14 @@ def described(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _first_round(texts: DataFrame) -> DataFrame:
-    """(a, b): each text and the least of its bucket, of its fingerprint, and of the fingerprints it is linked to."""
+    """(a, b): each text and one of its bucket, the least of its fingerprint, and of the fingerprints it is linked to."""
     points = staged(texts.groupBy("fp").agg(F.min("row").alias("least")), "points")
     same = texts.join(points, "fp").select(F.col("row").alias("a"), F.col("least").alias("b"))
     near = simhash.links(points.select("fp"))
     ends = [points.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}")) for c in ("a", "b")]
     near = near.join(ends[0], "a").join(ends[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
     marked = texts.select("row", "fp", "n", F.posexplode("marks").alias("k", "mark"))
-    least = marked.groupBy("k", "mark").agg(F.min(F.struct("row", "fp", "n")).alias("least"))
+    least = marked.groupBy("k", "mark").agg(F.min(F.struct(F.xxhash64("k", "mark", "row"), "row", "fp", "n")).alias("least"))
     lower, upper = ALIKE
     met = marked.join(least, ["k", "mark"]).filter(
         (F.bit_count(F.col("fp").bitwiseXOR(F.col("least.fp"))) <= NEAR)
