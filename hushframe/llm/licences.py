@@ -5,7 +5,10 @@ that overlap by half, so that whole texts are read.  A window is described by th
 1-, 2- and 3-grams it shares with the templates, and a multinomial logistic regression
 gives each licence family, and the class of everything else, a probability.  The
 probabilities are tempered on held-out examples.  A family is confirmed if the window
-also holds most word pairs of one of that family's templates.
+also holds most word pairs of one of that family's templates.  A window may hold several
+notices, so each confirmed family is judged on the window and on the words around its own
+matches, and every family that is most likely on one of them is told.  The parts of an SPDX
+expression are read as an identifier each.
 
 The regression is fitted on varied copies of the templates and on a bounded sample of
 ``SAMPLE`` paragraphs of the corpus, those of the least hashes, each by its first
@@ -150,7 +153,23 @@ def windows(words: list[str], size: int = WINDOW) -> list[list[str]]:
     return [words[k : k + size] for k in range(0, max(1, len(words) - size // 2), size // 2)]
 
 
+_SPDX = re.compile(r"SPDX-License-Identifier:[^\n]*", re.IGNORECASE)
+_PART = re.compile(r"[\s()]+(?:OR|AND)[\s()]+")
+
+
+def parted(text: str) -> str:
+    """The text with one identifier line for each part of an SPDX expression."""
+    return _SPDX.sub(lambda m: _PART.sub("\nSPDX-License-Identifier: ", m[0]), text)
+
+
 _TEMPLATE_PAIRS = [(family, frozenset(pairs_of(words_of_notice(t)))) for family, ts in TEMPLATES.items() for t in ts]
+_WORDS_OF = {f: set().union(*map(words_of_notice, ts)) for f, ts in TEMPLATES.items()}
+#: Per template its words that no other family's templates have; a stretch without any is not the template's.
+_OWN = [
+    frozenset(words_of_notice(t)) - set().union(*(w for g, w in _WORDS_OF.items() if g != f))
+    for f, ts in TEMPLATES.items()
+    for t in ts
+]
 _ANY_PAIR = frozenset().union(*(p for _, p in _TEMPLATE_PAIRS))
 #: No template is confirmed by fewer word pairs.
 _LEAST = min(-(-int(CONFIRM * 100) * len(p) // 100) for _, p in _TEMPLATE_PAIRS)
@@ -168,6 +187,27 @@ def confirmed(words: list[str]) -> dict[str, float]:
     return best
 
 
+def spans(words: list[str], pairs: frozenset[tuple[str, str]]) -> list[list[str]]:
+    """The words around each shortest stretch that confirms a template, widened by the pairs it lacks."""
+    hits = [k for k, p in enumerate(zip(words, words[1:])) if p in pairs]
+    need, held, start, found = -(-round(CONFIRM * 100) * len(pairs) // 100), {}, 0, []
+    for at in hits:
+        pair = words[at], words[at + 1]
+        held[pair] = held.get(pair, 0) + 1
+        least = None
+        while len(held) >= need:
+            least = hits[start]
+            gone = words[least], words[least + 1]
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
+            start += 1
+        if least is not None:
+            more = len(pairs) - need
+            found.append(words[max(0, least - more) : at + 2 + more])
+    return found
+
+
 class Model(NamedTuple):
     """``features`` gives the row of ``weights`` of a gram; the last row is the bias."""
 
@@ -241,7 +281,7 @@ def scan(text: str, model: Model) -> tuple[int, list[Find]]:
     """Number of paragraphs and the confirmed families of each, by order."""
     parts, finds = paragraphs(text), []
     for number, part in enumerate(parts):
-        words = words_of_notice(part)
+        words = words_of_notice(parted(part))
         if len(pairs_of(words) & _ANY_PAIR) < _LEAST:
             continue
         best: dict[str, Find] = {}
@@ -249,12 +289,20 @@ def scan(text: str, model: Model) -> tuple[int, list[Find]]:
             likely = confirmed(window)
             if not likely:
                 continue
-            found = model.probabilities(window)
-            order = np.argsort(-found)
-            family = model.classes[order[0]]
-            if family in likely and found[order[0]] >= CERTAIN:
-                find = Find(number, family, round(float(found[order[0]]), 4), round(likely[family], 4))
-                best[family] = max(find, best.get(family, find), key=lambda f: f.probability)
+            around = [
+                (f, s)
+                for (f, pairs), own in zip(_TEMPLATE_PAIRS, _OWN)
+                if f in likely
+                for s in spans(window, pairs)
+                if not own or own & set(s)
+            ]
+            for only, judged in [(None, window), *around]:
+                found = model.probabilities(judged)
+                top = int(np.argmax(found))
+                family = model.classes[top]
+                if family in likely and only in (None, family) and found[top] >= CERTAIN:
+                    find = Find(number, family, round(float(found[top]), 4), round(likely[family], 4))
+                    best[family] = max(find, best.get(family, find), key=lambda f: f.probability)
         finds += [best[f] for f in sorted(best)]
     return len(parts), finds
 

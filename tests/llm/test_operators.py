@@ -255,6 +255,20 @@ def test_licences(docs, small):
     assert not any(r.finds for k, r in found.items() if k != 14) and found[0].n_paragraphs == 0
 
 
+def test_licences_of_one_paragraph(small):
+    model = licences.train(small)
+    told = lambda text: [f.family for f in licences.scan(text, model)[1]]
+    assert told("SPDX-License-Identifier: MIT OR Apache-2.0") == ["apache", "mit"]
+    assert told("SPDX-License-Identifier: (Apache-2.0 OR MIT) AND BSD-3-Clause") == ["apache", "bsd", "mit"]
+    assert told("SPDX-License-Identifier: GPL-3.0-or-later") == ["gpl"]
+    for family, notices in licences.TEMPLATES.items():
+        for notice in notices:
+            assert told(notice) == [family], notice
+            for other, more in licences.TEMPLATES.items():
+                for also in more:
+                    assert told(f"{notice}\n{also}") == sorted({family, other}), (notice, also)
+
+
 def test_licences_held_out(small):
     made = licences.examples(licences.sample_of(small))
     held, learn = made[::4], [x for k, x in enumerate(made) if k % 4]
