@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import bpe, embeddings, licences, lines, mixing, quality, simhash, substrings, tokens, warc
+from hushframe.llm import bpe, decontaminate, embeddings, licences, lines, mixing, quality, simhash, substrings, tokens, warc
 from hushframe.llm.common import table
 from hushframe.session import staged_path
 
@@ -243,3 +243,38 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("finds").cast("long").alias("n_finds"),
         F.array_join(families, ",").alias("families"),
     )
+
+
+# Words of the operators that take letters, digits and everything beyond ASCII.
+_ALNUM = rf"regexp_extract_all(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op13_decontaminate",
+    f"""
+    WITH d AS (SELECT doc_id, {_ALNUM} AS words FROM documents),
+    b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_ALNUM} AS words FROM benchmark),
+    p AS (SELECT DISTINCT item, least(10, len(words)) AS size, array_to_string(words[i:i + least(10, len(words)) - 1], ' ') AS phrase
+          FROM (SELECT item, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM b WHERE len(words) > 0)),
+    s AS (SELECT DISTINCT size FROM p),
+    w AS (SELECT doc_id, size, i, array_to_string(words[i:i + size - 1], ' ') AS phrase
+          FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM d, s WHERE len(words) >= size)),
+    h AS (SELECT doc_id, size, i, item FROM w JOIN p USING (size, phrase)),
+    c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS pos FROM h) GROUP BY doc_id),
+    m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+          FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+    SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        decontaminate.hit_words().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
