@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import bpe, decontaminate, embeddings, licences, lines, mixing, quality, simhash, substrings, tokens, warc
+from hushframe.llm import bpe, decontaminate, embeddings, importance, licences, lines, mixing, quality, simhash, substrings, tokens, warc
 from hushframe.llm.common import table
 from hushframe.session import staged_path
 
@@ -278,3 +278,9 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+@query("op11_importance")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
