@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import bpe, decontaminate, embeddings, importance, licences, lines, mixing, quality, simhash, substrings, tokens, warc
+from hushframe.llm import bpe, collocations, decontaminate, embeddings, importance, licences, lines, mixing, quality, simhash, substrings, tokens, warc
 from hushframe.llm.common import table
 from hushframe.session import staged_path
 
@@ -284,3 +284,38 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def _slice(first: str, count: str) -> str:
+    return f"array_to_string(words[{first}:{first} + {count} - 1], ' ')"
+
+
+@query(
+    "op12_collocations",
+    f"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words
+          FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[.,;:!?\x0A-\x0D]')) AS piece
+                FROM documents)),
+    t AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM p GROUP BY lang),
+    g AS (SELECT lang, size, {_slice("i", "size")} AS phrase
+          FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i
+                FROM p, (SELECT unnest(range(1, 6)) AS size) WHERE len(words) >= size)),
+    f AS (SELECT lang, size, phrase, count(*) AS a FROM g GROUP BY lang, size, phrase HAVING count(*) >= 100),
+    w AS (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE size > 1),
+    o AS (SELECT lang, phrase, max(a) AS longer
+          FROM (SELECT lang, {_slice("i", "s")} AS phrase, a
+                FROM (SELECT lang, words, a, s, unnest(range(1, size - s + 2)) AS i
+                      FROM w, (SELECT unnest(range(2, 5)) AS s) WHERE s < size)) GROUP BY lang, phrase),
+    c AS (SELECT lang, phrase, a, k, {_slice("1", "k")} AS first, {_slice("(k + 1)", "(size - k)")} AS rest
+          FROM (SELECT w.*, unnest(range(1, size)) AS k FROM w LEFT JOIN o USING (lang, phrase) WHERE 100 * coalesce(longer, 0) < 100 * a)),
+    j AS (SELECT c.*, l.a AS l, r.a AS r, n, CAST(1000::HUGEINT * c.a * n // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+          FROM c JOIN f l ON c.lang = l.lang AND c.first = l.phrase JOIN f r ON c.lang = r.lang AND c.rest = r.phrase
+                 JOIN t ON c.lang = t.lang),
+    b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM j)
+    SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+                          phrase, a, l, r, n, score FROM b WHERE cut = 1)
+    WHERE rank <= 2000
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
