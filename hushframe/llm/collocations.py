@@ -153,7 +153,8 @@ class Vocabulary:
 
 
 def _lang_seed(lang: str) -> np.uint64:
-    return hashed(find_words(pa.array([lang]), np.ones(256, bool)))[0] if lang else np.uint64(0)
+    """Scrambled once more, as a language may also be a word."""
+    return mixed(hashed(find_words(pa.array(["#" + lang]), np.ones(256, bool))) + _NEXT)[0]
 
 
 def chained(hashes: np.ndarray, seed: np.ndarray, size: int) -> np.ndarray:
