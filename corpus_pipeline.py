@@ -19,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe.llm import bpe, lines, mixing, nearcopies, quality
+from hushframe.llm import bpe, lines, mixing, quality, simhash
 from hushframe.llm.common import staged, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -36,8 +36,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies (five-word shingles, Jaccard 0.8 or more)."""
-    return nearcopies.keep_first(docs)
+    """The document of least id of each group of texts whose fingerprints link (three-word shingles, two bits)."""
+    return simhash.keep_first(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
