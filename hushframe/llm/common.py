@@ -55,6 +55,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def thinned(df: DataFrame, share: float, *columns: str) -> DataFrame:
+    """About ``share`` of the distinct values of ``columns``, by their hash.
+
+    What tasks send to fit something on a sample then follows the sample, not the number of tasks.
+    """
+    if share >= 1:
+        return df
+    return df.filter(F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 #: Bytes of the large column that a Python step handles at once.
 SLICE_BYTES = 8 << 20
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import row_key, staged, text_of
+from hushframe.llm.common import row_key, staged, text_of, thinned
 from hushframe.llm.graph import components
 
 SEED = 42
@@ -206,7 +206,8 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     the first of its set.
     """
     n = points.count()
-    sample = points.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    some = thinned(points, 1.1 * SAMPLE / max(1, n), "fp")
+    sample = some.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     tree = Tree(sample, -(-n // SHARD))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

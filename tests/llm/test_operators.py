@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from hushframe.llm import bpe, embeddings, licences, lines, mixing, nearcopies, quality, queries, simhash, substrings, tokens, warc
+from hushframe.llm import bpe, embeddings, licences, lines, mixing, quality, queries, simhash, substrings, tokens, warc
+from hushframe.llm.common import staged
 from hushframe.session import staged_path
 from tests.conftest import SMALL
 
@@ -320,66 +321,6 @@ def test_null_ids_and_repeated_rows(spark):
     assert tokens.token_counts(table, queries.COUNTED).count() == quality.ledger(table).count() == 4
 
 
-def plain_near(texts):
-    """Least id reachable over pairs of five-word Jaccard 0.8 or more."""
-    sets = {k: set(simhash.shingles((t or "").encode(), 5)) for k, t in texts.items()}
-    top = {k: k for k in sets}
-    for a in sorted(sets):
-        for b in sorted(sets):
-            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and top[a] != top[b]:
-                low, high = sorted((top[a], top[b]))
-                top = {k: low if t == high else t for k, t in top.items()}
-    return top
-
-
-def edited(rng, words, n):
-    words = list(words)
-    for k in rng.choice(len(words), n, replace=False):
-        words[k] = f"new{rng.integers(1 << 30)}"
-    return " ".join(words)
-
-
-def test_pipeline_drops_near_copies(spark, docs, small):
-    rng = np.random.default_rng(3)
-    texts = []
-    for size in (30, 120, 400, 900):
-        for _ in range(6):
-            words = [f"v{x}" for x in rng.integers(0, 3000, size)]
-            texts += [edited(rng, words, n) for n in (0, 0, size // 60, size // 45, size // 30)]
-    shared = [f"s{k}" for k in range(100)]
-    texts += [edited(rng, shared, n) for n in [1, 2] * 15]
-    texts += [" ".join(shared[:60] + [f"t{k}.{x}" for x in range(60)]) for k in range(10)]
-    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    far = 0
-    for table in (made, docs, small):
-        held = dict(table.select("doc_id", "text").collect())
-        classes = plain_near(held)
-        kept = corpus_pipeline.simhash_dedup(spark, table, SMALL)
-        assert kept.columns == table.columns
-        assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k, c in classes.items() if k == c)
-        far += sum(c != k and (plain_fingerprint(held[k]) ^ plain_fingerprint(held[c])).bit_count() > 2 for k, c in classes.items())
-    assert far > 30
-
-
-def test_near_copies_of_a_close_fingerprint_are_compared(spark):
-    base = ["same old words"] * 80
-    texts = [" ".join([*base, *(f"{c}{k}" for k in range(12))]) for c in "xy"]
-    a, b = map(plain_fingerprint, texts)
-    assert (a ^ b).bit_count() <= 2
-    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert nearcopies.keep_first(table).count() == 2
-
-
-def test_near_copies_meet_beyond_the_first_round(spark, monkeypatch):
-    rng = np.random.default_rng(4)
-    words = [f"v{k}" for k in range(200)]
-    texts = [edited(rng, words, n) for n in (0, 1, 2, 3, 4)] + ["alone " * 3]
-    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    monkeypatch.setattr(nearcopies, "_first_round", lambda texts: texts.select(F.col("row").alias("a"), F.col("row").alias("b")))
-    classes = plain_near(dict(enumerate(texts)))
-    assert sorted(r.doc_id for r in nearcopies.keep_first(table).collect()) == sorted(k for k, c in classes.items() if k == c)
-
-
 def test_pipeline(spark, small):
     texts = small.filter(F.col("text").isNotNull())
     good = {r.doc_id for r in quality.ledger(texts).collect() if r.failed_bits == 0}
@@ -387,13 +328,27 @@ def test_pipeline(spark, small):
     left = plain_lines({k: t for k, (_, t) in sources.items()})
     classes = plain_classes([(k, plain_fingerprint(t)) for k, t in left.items()])
     firsts = {k for k, c in classes.items() if k == c}
+    docs, kept = small, []
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = staged(stage(spark, docs, SMALL), "test-stage")
+        assert docs.columns == small.columns
+        kept.append(dict(docs.select("doc_id", "text").collect()))
+    assert set(kept[0]) == good and kept[1] == left and kept[2] == {k: left[k] for k in firsts}
+    expected = Counter({r.doc.doc_id: r.copies for r in mixing.copies(docs).collect()})
     found = corpus_pipeline.run(spark, SMALL).collect()
-    sizes = Counter()
-    for k in firsts:
-        sizes[sources[k][0]] += len(WORD.findall(left[k]))
-    assert {r.doc_id for r in found} <= firsts
+    assert Counter(r.doc_id for r in found) == +expected
     assert all(r.text == left[r.doc_id] and r.n_tokens == len(r.ids) for r in found)
-    copies, taken = Counter(r.doc_id for r in found), Counter()
-    for k, n in copies.items():
-        taken[sources[k][0]] += n * len(WORD.findall(left[k]))
-    assert max(copies.values()) <= 3 and 0.8 < sum(taken.values()) / sum(sizes.values()) < 1.2
+
+
+def test_pipeline_of_no_documents(spark, small):
+    docs = small.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = staged(stage(spark, docs, SMALL), "test-stage")
+    assert docs.count() == 0
+
+
+def test_a_sample_of_many_points_is_thinned(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLE", 50)
+    points = spark.range(4000).select(F.xxhash64("id").alias("fp"))
+    near = points.select((F.col("fp").bitwiseXOR(F.lit(5))).alias("fp"))
+    assert simhash.links(points.unionByName(near)).distinct().count() == 4000
