@@ -1,11 +1,13 @@
 """Phrase collocation mining: HAT-trie counting, one phrase length after the other.
 
-A task counts phrases in a shallow trie over word ids.  Its leaves are hash containers of
-the words that are left; a container that grows too large bursts into a node over the next
-word.  When the trie is full, its largest subtrees leave as sorted runs.  Runs meet by
-prefix partition: the sort of the shuffle merges them, and a pass over the sorted rows
-adds up equal phrases, so no group is ever held.  What a frequent phrase sends is bounded
-by the tasks and their spills, not by its occurrences.
+A task counts phrases in a shallow trie over word ids; the id of a word is its 64-bit hash
+and the same in all tasks.  The trie's leaves are containers of phrase hashes and counts;
+a container that grows too large bursts into a node over the next word.  When the trie is
+full, its largest subtrees leave as sorted runs.  Runs meet by the prefix of the hash: the
+sort of the shuffle merges them, and a pass over the sorted rows adds up equal phrases, so
+no group is ever held.  What a frequent phrase sends is bounded by the tasks and their
+spills, not by its occurrences.  Only phrases that are frequent are spelled, by one more
+pass over the texts.
 
 A phrase is as frequent as each part of it at most.  So phrases of k words are counted
 only where both of their parts of k - 1 words may be frequent, by a bitmap of fixed size
@@ -14,7 +16,7 @@ over hashes of those that are; a wrong bit costs a count and changes no result.
 Defined cases: null, empty and wordless texts have no phrases; a null language is
 ``UNKNOWN``; repeated rows and rows that share an id count each; an empty table gives an
 empty result.  Only the text and the language are read, so ids and extra columns do not
-matter.  Within a task, words and phrases are told apart by 64-bit hashes.
+matter.  Words and phrases are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,31 +25,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hushframe.llm.common import slices, staged, text_of
 from hushframe.llm.substrings import mixed
-from hushframe.llm.wordscan import Words, find_words, hashed
+from hushframe.llm.wordscan import find_words, hashed
 
 LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
 UNKNOWN = "und"
 
-#: Phrases that a container holds before it bursts, and levels of the trie that may burst.
-BURST = 4096
+#: Phrases that a container holds before it bursts, and words that the trie branches on.
+BURST = 1 << 15
 DEPTH = 3
 #: Phrases that a task holds before subtrees are spilled, and rows of a batch that leaves.
-FULL = 1 << 19
-BATCH = 1 << 14
+FULL = 1 << 22
+BATCH = 1 << 16
 #: Bits of the map of frequent phrases, and of one piece of it.
 MAP = 1 << 26
 PIECE = 1 << 15
-#: Words of a phrase that name its partition.
-PREFIX = 3
+#: Leading bits of a hash that name its partition.
+PREFIX = 20
 #: Parts of a language that are ranked on their own before its best are.
 SALTS = 64
 
@@ -58,98 +59,86 @@ _INSIDE = ~_SEPARATORS
 _INSIDE[list(b" \t")] = False
 
 
+class Container:
+    """Phrase hashes with their counts and routes; what came last is added up when it outgrows the rest."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = self.settled = 0
+
+    def add(self, *part: np.ndarray) -> None:
+        self.parts.append(part)
+        self.size += len(part[0])
+        if self.size > 2 * self.settled + 1024:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, ...]:
+        """(hash, count, route) in the order of the hashes, each once."""
+        if len(self.parts) > 1 or self.size != self.settled:
+            h, n, route = (np.concatenate(c) for c in zip(*self.parts))
+            order = np.argsort(h)
+            h = h[order]
+            start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            self.parts = [(h[start], np.add.reduceat(n[order], start), route[order][start])]
+            self.size = self.settled = len(start)
+        return self.parts[0]
+
+
 class HatTrie:
-    """Counts of phrases of ``size`` word ids per language; a key is the phrase's ids, four bytes each."""
+    """Counts of phrases by their words' ids: a node branches on eight bits of the next one's."""
 
     def __init__(self, size: int):
-        self.width = 4 * size
-        self.root: dict = {}
-        self.held = 0
-
-    def add(self, lang: str, keys: list[bytes], counts: list[int]) -> None:
-        width = self.width
-        for key, count in zip(keys, counts):
-            box, name, at = self.root, lang, 0
-            node = box.get(name)
-            while type(node) is Node:
-                box, name = node, key[at : at + 4]
-                at += 4
-                node = box.get(name)
-            rest = key[at:]
-            if node is None:
-                node = box[name] = {}
-            seen = node.get(rest)
-            if seen is not None:
-                node[rest] = seen + count
+        self.levels = min(size, DEPTH)
+        self.root: dict[int, dict | Container] = {}
+
+    def add(self, h: np.ndarray, n: np.ndarray, route: np.ndarray) -> None:
+        """Count phrases; byte k of ``route``, from the lowest, leads on in a node of depth k."""
+        self._into(self.root, 0, h, n, route)
+
+    def _into(self, node: dict, depth: int, h: np.ndarray, n: np.ndarray, route: np.ndarray) -> None:
+        digit = (route >> (8 * depth)) & 255
+        order = np.argsort(digit, kind="stable")
+        h, n, route, digit = h[order], n[order], route[order], digit[order]
+        start = np.flatnonzero(np.append(True, digit[1:] != digit[:-1])) if len(digit) else []
+        for a, z in zip(start, np.append(start[1:], len(digit))):
+            child = node.setdefault(int(digit[a]), None) or Container()
+            if isinstance(child, dict):
+                self._into(child, depth + 1, h[a:z], n[a:z], route[a:z])
                 continue
-            node[rest] = count
-            self.held += 1
-            if len(node) > BURST and at < 4 * DEPTH and at + 4 < width:
-                box[name] = _burst(node)
-
-    def spilled(self, keep: int) -> Iterator[tuple[str, list[tuple[bytes, int]]]]:
-        """(language, phrases) of the largest subtrees, until at most ``keep`` phrases are held."""
-        trees = []
-        for lang, node in self.root.items():
-            if type(node) is Node:
-                trees += [(_size(child), lang, word) for word, child in node.items()]
-            else:
-                trees.append((_size(node), lang, None))
-        for size, lang, word in sorted(trees, key=lambda t: -t[0]):
-            if self.held <= keep:
+            node[int(digit[a])] = child
+            child.add(h[a:z], n[a:z], route[a:z])
+            if child.size > BURST and depth + 1 < self.levels and len(child.settle()[0]) > BURST:
+                burst: dict = {}
+                self._into(burst, depth + 1, *child.settle())
+                node[int(digit[a])] = burst
+
+    def held(self) -> int:
+        return sum(map(_size, self.root.values()))
+
+    def spilled(self, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(hash, count) of the largest subtrees, each sorted, until at most ``keep`` phrases are held."""
+        trees = sorted(((_size(child), digit) for digit, child in self.root.items()), reverse=True)
+        held = sum(size for size, _ in trees)
+        for size, digit in trees:
+            if held <= keep:
                 break
-            node = self.root.pop(lang) if word is None else self.root[lang].pop(word)
-            self.held -= size
-            yield lang, list(_phrases(node, word or b""))
-
-
-class Node(dict):
-    """A node of the trie: children by the four bytes of the next word id."""
-
-
-def _burst(container: dict) -> Node:
-    node = Node()
-    for rest, count in container.items():
-        child = node.get(rest[:4])
-        if child is None:
-            child = node[rest[:4]] = {}
-        child[rest[4:]] = count
-    return node
-
+            held -= size
+            parts = [c.settle() for c in _containers(self.root.pop(digit))]
+            h, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            order = np.argsort(h)
+            yield h[order], n[order]
 
-def _size(node: dict) -> int:
-    return sum(map(_size, node.values())) if type(node) is Node else len(node)
 
+def _containers(node: dict | Container) -> Iterator[Container]:
+    if isinstance(node, Container):
+        yield node
+    else:
+        for child in node.values():
+            yield from _containers(child)
 
-def _phrases(node: dict, before: bytes) -> Iterator[tuple[bytes, int]]:
-    for key, value in node.items():
-        if type(node) is Node:
-            yield from _phrases(value, before + key)
-        else:
-            yield before + key, value
 
-
-class Vocabulary:
-    """Ids of the words of a task."""
-
-    def __init__(self):
-        self.ids: dict[int, int] = {}
-        self.words: list[str] = []
-
-    def of(self, words: Words, hashes: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """The ids of the words at ``places``."""
-        distinct, first, which = np.unique(hashes[places], return_index=True, return_inverse=True)
-        ids = np.empty(len(distinct), ">i4")
-        for k, (h, place) in enumerate(zip(distinct.tolist(), places.ravel()[first].tolist())):
-            known = self.ids.get(h)
-            if known is None:
-                known = self.ids[h] = len(self.words)
-                self.words.append(words.of(place).decode())
-            ids[k] = known
-        return ids[which].reshape(places.shape)
-
-    def phrase(self, key: bytes) -> str:
-        return " ".join(map(self.words.__getitem__, np.frombuffer(key, ">i4").tolist()))
+def _size(node: dict | Container) -> int:
+    return sum(c.size for c in _containers(node))
 
 
 def _lang_seed(lang: str) -> np.uint64:
@@ -157,35 +146,47 @@ def _lang_seed(lang: str) -> np.uint64:
     return mixed(hashed(find_words(pa.array(["#" + lang]), np.ones(256, bool))) + _NEXT)[0]
 
 
-def chained(hashes: np.ndarray, seed: np.ndarray, size: int) -> np.ndarray:
-    """The hash of the ``size`` words from each place on; the last places have none."""
-    out = mixed(hashes ^ seed)
-    for k in range(1, size):
-        out = mixed(out[:-1] * _NEXT ^ hashes[k:])
-    return out
-
+class Slice:
+    """The words of some texts, and the hashes of the phrases that begin at each of them."""
+
+    def __init__(self, texts: pa.Array, langs: list[str]):
+        self.words = find_words(texts, _INSIDE)
+        self.hashes = hashed(self.words)
+        self.text = self.words.text_of(np.arange(len(self.hashes)))
+        seeds = {lang: _lang_seed(lang) for lang in set(langs)}
+        seed = np.array([seeds[lang] for lang in langs], np.uint64)
+        self.first = mixed(self.hashes ^ seed[self.text]) if len(self.hashes) else self.hashes
+        passed = np.cumsum(_SEPARATORS[self.words.data], dtype=np.int64)
+        # Differs across a separator and across texts.
+        self.piece = passed[self.words.begin] + self.text
+
+    def longer(self, h: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of the phrases of ``size`` words from those of one word less; the last place has none."""
+        return mixed(h[:-1] * _NEXT ^ self.hashes[size - 1 :])
+
+    def whole(self, size: int) -> np.ndarray:
+        """Whether the ``size`` words from each place on lie in one piece."""
+        n = max(0, len(self.piece) - size + 1)
+        return self.piece[:n] == self.piece[size - 1 :]
+
+    def phrases(self, size: int, frequent: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(place, hash) of the phrases to be counted."""
+        h = self.first
+        for k in range(2, size):
+            h = self.longer(h, k)
+        if size == 1:
+            return np.arange(len(h)), h
+        if len(self.hashes) < size:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        may = _marked(frequent, h)
+        places = np.flatnonzero(may[:-1] & may[1:] & self.whole(size))
+        return places, mixed(h[places] * _NEXT ^ self.hashes[places + size - 1])
 
-def _found(texts: pa.Array, langs: list[str], size: int, frequent: np.ndarray | None):
-    """(words, word hashes, places, phrase hashes, text of each place) of the phrases to be counted."""
-    words = find_words(texts, _INSIDE)
-    hashes = hashed(words)
-    text = words.text_of(np.arange(len(hashes)))
-    seeds = {lang: _lang_seed(lang) for lang in set(langs)}
-    seed = np.array([seeds[lang] for lang in langs], np.uint64)[text] if len(text) else np.zeros(0, np.uint64)
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return words, hashes, np.zeros(0, np.int64), np.zeros(0, np.uint64), text
-    passed = np.cumsum(_SEPARATORS[words.data], dtype=np.int64)
-    piece = passed[words.begin] + text  # differs across a separator and across texts
-    if size == 1:
-        places = np.arange(n)
-        return words, hashes, places, chained(hashes, seed, 1), text
-    part = chained(hashes, seed, size - 1)
-    may = _marked(frequent, part)
-    keep = may[:-1] & may[1:] & (piece[:n] == piece[size - 1 :])
-    places = np.flatnonzero(keep)
-    whole = mixed(part[places] * _NEXT ^ hashes[places + size - 1])
-    return words, hashes, places, whole, text
+    def route(self, places: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(len(places), np.int64)
+        for k in range(min(size, DEPTH)):
+            out |= (self.hashes[places + k] & np.uint64(255)).astype(np.int64) << (8 * k)
+        return out
 
 
 def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -193,96 +194,92 @@ def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 != 0
 
 
-_COUNTED = "lang string, phrase string, n bigint"
+def _runs(rows: DataFrame, size: int, frequent: np.ndarray | None) -> DataFrame:
+    """(h, n): the sorted runs of all tasks."""
 
-
-def _runs(docs: DataFrame, size: int, frequent: np.ndarray | None) -> DataFrame:
-    """(lang, phrase, n): the sorted runs of all tasks; with ``size`` 1 also the words of each language, as phrase ''."""
-
-    def out(trie: HatTrie, known: Vocabulary, keep: int) -> Iterator[pa.RecordBatch]:
-        for lang, phrases in trie.spilled(keep):
-            run = sorted((known.phrase(key), n) for key, n in phrases)
-            for at in range(0, len(run), BATCH):
-                some = run[at : at + BATCH]
-                yield _batch([lang] * len(some), [p for p, _ in some], [n for _, n in some])
+    def out(trie: HatTrie, keep: int) -> Iterator[pa.RecordBatch]:
+        for h, n in trie.spilled(keep):
+            for at in range(0, len(h), BATCH):
+                columns = [pa.array(h[at : at + BATCH].view(np.int64)), pa.array(n[at : at + BATCH])]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known, totals = HatTrie(size), Vocabulary(), {}
+        trie = HatTrie(size)
         for batch in slices(batches, "text"):
-            langs = batch.column("lang").to_pylist()
-            words, hashes, places, whole, text = _found(batch.column("text"), langs, size, frequent)
-            _, first, counts = np.unique(whole, return_index=True, return_counts=True)
-            at = places[first]
-            ids = known.of(words, hashes, at[:, None] + np.arange(size))
-            data, width = ids.tobytes(), 4 * size
-            lang = np.array(langs, object)[text[at]]
-            for name in set(langs):
-                mine = np.flatnonzero(lang == name)
-                trie.add(name, [data[k * width : (k + 1) * width] for k in mine.tolist()], counts[mine].tolist())
-            if size == 1:
-                for name, n in zip(langs, np.diff(words.bounds).tolist()):
-                    totals[name] = totals.get(name, 0) + n
-            if trie.held > FULL:
-                yield from out(trie, known, FULL // 2)
-        yield from out(trie, known, 0)
-        if totals:
-            yield _batch(list(totals), [""] * len(totals), list(totals.values()))
-
-    return docs.mapInArrow(count, _COUNTED)
-
-
-def _batch(langs: list[str], phrases: list[str], counts: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], ["lang", "phrase", "n"]
-    )
+            held = Slice(batch.column("text"), batch.column("lang").to_pylist())
+            places, whole = held.phrases(size, frequent)
+            h, first, n = np.unique(whole, return_index=True, return_counts=True)
+            trie.add(h, n.astype(np.int64), held.route(places[first], size))
+            if trie.held() > FULL:
+                yield from out(trie, FULL // 2)
+        yield from out(trie, 0)
 
+    return rows.mapInArrow(count, "h bigint, n bigint")
 
-def _merged(runs: DataFrame, size: int, min_count: int) -> DataFrame:
-    """(lang, phrase, n, h) of the phrases found ``min_count`` times or more, from runs merged per prefix partition."""
-    prefix = F.substring_index("phrase", " ", min(size, PREFIX))
-    together = runs.repartition("lang", prefix).sortWithinPartitions("lang", "phrase")
-
-    def out(lang: pa.Array, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-        kept = pa.array(n >= min_count)
-        lang, phrase, n = lang.filter(kept), phrase.filter(kept), n[n >= min_count]
-        words = find_words(phrase, _INSIDE)
-        names = lang.to_pylist()
-        seeds = {name: _lang_seed(name) for name in set(names)}
-        h = np.zeros(len(n), np.uint64)
-        real = np.flatnonzero(np.diff(words.bounds) == size)
-        if len(real):
-            seed = np.array([seeds[names[k]] for k in real.tolist()], np.uint64)
-            hashes = hashed(words)[words.bounds[real][:, None] + np.arange(size)]
-            h[real] = mixed(hashes[:, 0] ^ seed)
-            for k in range(1, size):
-                h[real] = mixed(h[real] * _NEXT ^ hashes[:, k])
-        return pa.RecordBatch.from_arrays([lang, phrase, pa.array(n), pa.array(h.view(np.int64))], ["lang", "phrase", "n", "h"])
+
+def _merged(runs: DataFrame, min_count: int) -> DataFrame:
+    """(h, n) of the phrases found ``min_count`` times or more, from runs merged per prefix partition."""
+    together = runs.repartition(F.shiftright("h", 64 - PREFIX)).sortWithinPartitions("h")
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        def out(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            often = n >= min_count
+            return pa.RecordBatch.from_arrays([pa.array(h[often]), pa.array(n[often])], ["h", "n"])
+
+        last_h, last_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
-            lang, phrase = (table.column(c).combine_chunks() for c in ("lang", "phrase"))
-            new = np.ones(len(lang), bool)
-            for column in (lang, phrase):
-                differs = np.asarray(pc.not_equal(column[1:], column[:-1]).cast(pa.uint8())).astype(bool)
-                new[1:] = differs if column is lang else new[1:] | differs
-            start = np.flatnonzero(new)
-            n = np.add.reduceat(np.asarray(table.column("n").combine_chunks()), start)
-            lang, phrase = lang.take(pa.array(start)), phrase.take(pa.array(start))
-            last = pa.RecordBatch.from_arrays([lang[-1:], phrase[-1:], pa.array(n[-1:])], ["lang", "phrase", "n"])
-            yield out(lang[:-1], phrase[:-1], n[:-1])
-        if last is not None:
-            yield out(last.column("lang"), last.column("phrase"), np.asarray(last.column("n")))
-
-    return together.mapInArrow(add_up, f"{_COUNTED}, h bigint")
+            h = np.concatenate([last_h, np.asarray(batch.column("h"))])
+            n = np.concatenate([last_n, np.asarray(batch.column("n"))])
+            start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+            h, n = h[start], np.add.reduceat(n, start) if len(start) else n
+            last_h, last_n = h[-1:], n[-1:]
+            yield out(h[:-1], n[:-1])
+        yield out(last_h, last_n)
+
+    return together.mapInArrow(add_up, "h bigint, n bigint")
+
+
+def _spelled(rows: DataFrame, longest: int, frequent: np.ndarray) -> DataFrame:
+    """(h, lang, phrase, size, n): phrases that may be frequent, once per task; and with size 0 the words of a language."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, totals = [np.zeros(0, np.uint64)] * (longest + 1), {}
+        for batch in slices(batches, "text"):
+            langs = batch.column("lang").to_pylist()
+            held = Slice(batch.column("text"), langs)
+            for lang, n in zip(langs, np.diff(held.words.bounds).tolist()):
+                totals[lang] = totals.get(lang, 0) + n
+            h = held.first
+            for size in range(1, longest + 1):
+                if len(held.hashes) < size:
+                    break
+                h = held.longer(h, size) if size > 1 else h
+                places = np.flatnonzero(_marked(frequent, h) & held.whole(size))
+                new, first = np.unique(h[places], return_index=True)
+                fresh = ~np.isin(new, seen[size], assume_unique=True)
+                new, places = new[fresh], places[first[fresh]]
+                seen[size] = np.concatenate([seen[size], new])
+                spelled = [b" ".join(map(held.words.of, range(p, p + size))).decode() for p in places.tolist()]
+                yield _named(new, [langs[t] for t in held.text[places].tolist()], spelled, size, [0] * len(new))
+        yield _named(np.zeros(len(totals), np.uint64), list(totals), [""] * len(totals), 0, list(totals.values()))
+
+    return rows.mapInArrow(spell, "h bigint, lang string, phrase string, size int, n bigint")
+
+
+def _named(h: np.ndarray, langs: list[str], phrases: list[str], size: int, n: list[int]) -> pa.RecordBatch:
+    columns = [
+        pa.array(h.view(np.int64)),
+        pa.array(langs, pa.string()),
+        pa.array(phrases, pa.string()),
+        pa.array([size] * len(h), pa.int32()),
+        pa.array(n, pa.int64()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["h", "lang", "phrase", "size", "n"])
 
 
 def _bitmap(frequent: DataFrame) -> np.ndarray:
     """One bit per hash slot that a frequent phrase has: MAP bits, whatever their number."""
-    slots = frequent.filter("phrase <> ''").select(F.pmod("h", F.lit(MAP)).alias("slot"))
+    slots = frequent.select(F.pmod("h", F.lit(MAP)).alias("slot"))
     pieces = slots.select(F.floor(F.col("slot") / PIECE).cast("int").alias("piece"), (F.col("slot") % PIECE).alias("bit"))
     held = pieces.repartition("piece").groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
     out = np.zeros(MAP >> 3, np.uint8)
@@ -296,20 +293,18 @@ def frequent_phrases(
 ) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, size, n) of all phrases found often enough, (lang, total words))."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), text_of(text).alias("text"))
-    levels, bits, totals = [], None, None
+    counts, bits, every = None, None, np.zeros(MAP >> 3, np.uint8)
     for size in range(1, longest + 1):
-        merged = staged(_merged(_runs(rows, size, bits), size, min_count), f"phrases-{size}")
-        if size == 1:
-            totals = merged.filter("phrase = ''").select("lang", F.col("n").alias("total"))
-        levels.append(merged.filter("phrase <> ''").select("lang", "phrase", F.lit(size).alias("size"), "n"))
-        if size < longest:
-            bits = _bitmap(merged)
-            if not bits.any():
-                break
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out, totals
+        level = staged(_merged(_runs(rows, size, bits), min_count), f"phrases-{size}")
+        counts = level if counts is None else counts.unionByName(level)
+        bits = _bitmap(level)
+        every |= bits
+        if not bits.any():
+            break
+    spelled = staged(_spelled(rows, longest, every), "phrases")
+    names = spelled.filter("size > 0").groupBy("h").agg(F.min(F.struct("lang", "phrase", "size")).alias("name"))
+    known = names.join(counts, "h").select("name.lang", "name.phrase", "name.size", "n")
+    return staged(known, "frequent"), spelled.filter("size = 0").groupBy("lang").agg(F.sum("n").alias("total"))
 
 
 def _part(words: str, first, count) -> F.Column:

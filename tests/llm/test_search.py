@@ -258,7 +258,7 @@ def plain_collocations(docs, min_count, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("burst, full", [(4096, 1 << 19), (3, 50)])
+@pytest.mark.parametrize("burst, full", [(1 << 15, 1 << 22), (3, 50)])
 def test_collocations(docs, small, monkeypatch, burst, full):
     monkeypatch.setattr(collocations, "BURST", burst)
     monkeypatch.setattr(collocations, "FULL", full)
@@ -271,16 +271,18 @@ def test_trie_bursts_and_spills(monkeypatch):
     monkeypatch.setattr(collocations, "BURST", 4)
     rng = np.random.default_rng(2)
     trie, expected = collocations.HatTrie(3), Counter()
-    keys = rng.integers(0, 6, (500, 3)).astype(">i4")
-    trie.add("en", [k.tobytes() for k in keys], [1] * 500)
-    expected.update(k.tobytes() for k in keys)
-    assert isinstance(trie.root["en"], collocations.Node) and trie.held == len(expected)
-    out = Counter()
-    for keep in (trie.held // 2, 0):
-        for lang, phrases in trie.spilled(keep):
-            for key, n in phrases:
-                out[key] += n
-        assert trie.held <= keep
+    for _ in range(20):
+        route = np.unique(rng.integers(0, 1 << 24, 60) & 0x070703)
+        h = (route.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        trie.add(h, np.ones(len(h), np.int64), route)
+        expected.update(h.tolist())
+    assert any(isinstance(c, dict) for c in trie.root.values())
+    out, held = Counter(), trie.held()
+    for keep in (held // 2, 0):
+        for h, n in trie.spilled(keep):
+            assert (h[1:] > h[:-1]).all()
+            out.update(dict(zip(h.tolist(), n.tolist())))
+        assert trie.held() <= keep
     assert out == expected
 
 
