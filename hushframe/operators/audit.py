@@ -101,6 +101,28 @@ def object_summaries(audit: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def technical_summary(audit: DataFrame, rows: DataFrame, skipped: DataFrame, limit: int | None) -> DataFrame:
+    """One JSON document of a run: per object rows, kept columns and action counts; the skips; the limit.
+
+    Objects come from the closed catalogue, so the lists are short.
+    """
+    per_action = action_counts(audit, "object").groupBy("object").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("action", "fields")))).alias("action_counts"),
+        F.sum(F.when(F.col("action") != "DROP", F.col("fields")).otherwise(0)).alias("columns"),
+    )
+    done = per_action.join(rows, "object").select("object", F.col("n_rows").alias("rows"), "columns", "action_counts")
+    parts = done.unionByName(skipped.select("object", "reason"), allowMissingColumns=True)
+
+    def listed(kept: Column, *names: str) -> Column:
+        found = F.collect_list(F.when(kept, F.struct(*names)))
+        return F.array_sort(found, lambda a, b: F.when(a["object"] < b["object"], -1).when(a["object"] > b["object"], 1).otherwise(0))
+
+    return parts.agg(
+        listed(F.col("reason").isNull(), "object", "rows", "columns", "action_counts").alias("objects"),
+        listed(F.col("reason").isNotNull(), "object", "reason").alias("skipped"),
+    ).select(json_document(objects=F.col("objects"), skipped=F.col("skipped"), limit=F.lit(limit).cast("int")).alias("summary"))
+
+
 def success_counts(outcomes: DataFrame) -> DataFrame:
     """Objects that worked and that were skipped."""
     return outcomes.agg(

@@ -115,6 +115,42 @@ def count_per_column(frame: DataFrame, columns: Sequence[str], test: Callable[[C
     return counts.unpivot([], list(columns), "column", name)
 
 
+def _value_tests(action: str, recipe: str, source: str) -> dict[str, Callable[[Column], Column]]:
+    """What a masked text column must not hold, by what was done to it.
+
+    A value that an operator's override exposes is theirs to answer for.
+    """
+    if action.startswith(rules.HASH):
+        return {"hash shape": lambda c: ~is_hash_shaped(c)}
+    if recipe == "ip_prefix":
+        return {"raw address": has_raw_ip}
+    if recipe == "url_sanitise":
+        return {"raw address": has_raw_ip, "query string": has_query_string, "clear e-mail": has_clear_email}
+    if source == "override":
+        return {}
+    return {"clear e-mail": has_clear_email}
+
+
+def check_values(name: str, frame: DataFrame, actions: Sequence) -> None:
+    """Refuse a written table with a value that its actions should have removed; one pass, no value is told.
+
+    ``actions`` have name, action, recipe, source and kept.
+    """
+    text = set(text_columns(frame))
+    tests = [
+        (a.name, what, test)
+        for a in actions
+        if a.kept and a.name in text
+        for what, test in _value_tests(a.action, a.recipe, a.source).items()
+    ]
+    if not tests:
+        return
+    found = frame.agg(*[F.count_if(test(F.col(f"`{column}`"))).alias(f"c{k}") for k, (column, _, test) in enumerate(tests)]).first()
+    wrong = [f"{column}: {what} in {found[k]} rows" for k, (column, what, _) in enumerate(tests) if found[k]]
+    if wrong:
+        raise GateError(f"{name}: {'; '.join(wrong)}")
+
+
 def text_columns(frame: DataFrame) -> list[str]:
     return [name for name, kind in frame.dtypes if kind == "string"]
 

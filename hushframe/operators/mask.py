@@ -83,18 +83,24 @@ def _action(row: Row, name: str) -> ColumnAction:
     return ColumnAction(**{**values, "name": row[name]})
 
 
-def mask(frame: DataFrame, actions: Iterable[ColumnAction], key: str = "Id") -> DataFrame:
+def mask(frame: DataFrame, actions: Iterable[ColumnAction], key: str | None = "Id") -> DataFrame:
     """Project kept columns in order and transform them.
 
-    Dropped columns are never selected, so the scan does not read them.  When
-    nothing is kept only the key column stays.
+    Dropped columns are never selected, so the scan does not read them.  Names are
+    matched as Spark resolves them, without regard to case, and shown as audited.
+    When nothing is kept only the key column stays; without a key the result has
+    neither columns nor rows.
     """
-    kept = [a for a in actions if a.kept and a.name in frame.columns]
+    found = {c.lower(): c for c in frame.columns}
+    kept = [a for a in actions if a.kept and a.name.lower() in found]
     if not kept:
-        return frame.select(key)
+        return frame.select(key) if key else frame.limit(0).select()
     types = dict(frame.dtypes)
     return frame.select(
-        *[apply_action(F.col(f"`{a.name}`"), a.action, a.recipe, types[a.name]).alias(a.name) for a in kept]
+        *[
+            apply_action(F.col(f"`{found[a.name.lower()]}`"), a.action, a.recipe, types[found[a.name.lower()]]).alias(a.name)
+            for a in kept
+        ]
     )
 
 

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushframe import rules
 from hushframe.operators import audit as audits
 from hushframe.operators.classify import classify_records
-from hushframe.operators.gates import count_per_column, is_hash_shaped, require_empty
+from hushframe.operators.gates import check_values
 from hushframe.operators.mask import ClassifiedFrame, mask, read_actions_by_object
 from hushframe.operators.predicate import narrowed, record_scope
 from hushframe.operators.resolve import applied_action, drift, resolve_records
-from hushframe.sinks.publish import Gate, publish
+from hushframe.sinks.publish import Gate, Publication
 from hushframe.sinks.text import check_header
 from hushframe.sources.planfile import Plan, records_plan_text
 
 SENTINEL = "field_handling"
+SUMMARY = "summary"
 
 
 def resolve_fields(fields: DataFrame, plan: Plan | None) -> DataFrame:
@@ -50,6 +50,9 @@ def extract(
 ) -> list[ClassifiedFrame]:
     """Masked tables of all objects in scope; nothing runs yet but the schema job."""
     names = record_scope(list(tables), plan.scope if plan else None)
+    missing = [name for name in names if name not in tables]
+    if missing:
+        raise ValueError(f"the plan's scope names objects without a table: {missing}")
     actions = read_actions_by_object(resolve_fields(fields, plan), names)
     return [
         ClassifiedFrame(name, mask(narrowed(tables[name], predicate), actions[name]), tuple(actions[name]))
@@ -58,14 +61,11 @@ def extract(
 
 
 def value_gate(masked: list[ClassifiedFrame]) -> Gate:
-    """Hashed columns of the written tables hold hashes and nothing else."""
+    """Written tables hold nothing that their actions should have removed."""
 
     def check(written: dict[str, DataFrame]) -> None:
         for table in masked:
-            hashed = [a.name for a in table.actions if a.action.startswith(rules.HASH)]
-            if hashed:
-                counts = count_per_column(written[table.name], hashed, lambda c: ~is_hash_shaped(c), "misshapen")
-                require_empty(counts.where("misshapen > 0"), f"{table.name}: hash shape")
+            check_values(table.name, written[table.name], table.actions)
 
     return check
 
@@ -84,12 +84,19 @@ def export(
     masked = extract(tables, fields, plan, predicate)
     for table in masked:
         check_header(table, ("Id",))
-    resolved = resolve_fields(fields, plan).where(F.col("object").isin(list(tables)))
+    resolved = resolve_fields(fields, plan).where(F.col("object").isin([t.name for t in masked]))
     audit = audits.record_audit(resolved)
     if predicate is not None:
         audit = audits.where_row(audit, predicate)
     drifted = drift(resolved, plan.known_table(spark)) if plan else resolved.limit(0)
-    artefacts = {table.name: table.frame for table in masked}
-    artefacts["flagged_fields"] = audits.flagged_fields(resolved, drifted, "object")
-    artefacts[SENTINEL] = audit
-    return publish(spark, target, artefacts, SENTINEL, gates=(value_gate(masked),))
+    with Publication(spark, target, SENTINEL) as run:
+        for table in masked:
+            run.write(table.name, table.frame)
+        run.check(value_gate(masked))
+        run.write("flagged_fields", audits.flagged_fields(resolved, drifted, "object"))
+        counted = spark.createDataFrame([(t.name, run.rows[t.name]) for t in masked], "object string, rows_out bigint")
+        placed = resolved if "position" in resolved.columns else resolved.withColumn("position", F.lit(0))
+        run.write(SUMMARY, audits.record_summary(placed, counted))
+        run.write(SENTINEL, audit)
+        run.commit()
+        return run.run

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe import rules
+from hushframe.operators import audit as audits
 from hushframe.operators.classify import classify_technical, selectable
+from hushframe.operators.gates import check_values
 from hushframe.operators.mask import ClassifiedFrame, mask, read_actions_by_object
-from hushframe.operators.resolve import resolve_exposure
-from hushframe.sinks.publish import publish
+from hushframe.operators.resolve import resolve_exposure, union_all
+from hushframe.sinks.publish import TABLE_ERRORS, Publication
+from hushframe.sinks.text import check_header
 from hushframe.sources.planfile import Plan, tagged_plan_text
 
 SENTINEL = "field_handling"
+SUMMARY = "summary"
+SKIP_COLUMNS = "object string, reason string"
 
 
 def scope(only: list[str] | None, plan: Plan | None) -> list[str]:
@@ -48,6 +52,12 @@ def plan_text(fields: DataFrame, objects: list[str]) -> str:
     return tagged_plan_text("objects", objects, tags)
 
 
+def _limited(table: DataFrame, limit: int | None, order: str) -> DataFrame:
+    if limit is None:
+        return table
+    return table.orderBy(order).limit(limit) if order in table.columns else table.limit(limit)
+
+
 def extract(
     spark: SparkSession,
     open_table: Callable[[str], DataFrame],
@@ -59,30 +69,49 @@ def extract(
 ) -> tuple[list[ClassifiedFrame], DataFrame]:
     """(masked tables, skip rows).  One object's failure skips that object.
 
-    A failure of every object ends the run.
+    An object whose fields all drop is a table without columns and rows.  A failure
+    of every object ends the run.
     """
     per_object = read_actions_by_object(resolve_fields(fields, plan), objects)
     done, skipped = [], []
     for name in objects:
         try:
-            table = open_table(name)
+            table = _limited(open_table(name), limit, order)
             actions = per_object[name]
             if not actions:
                 raise ValueError("no safe queryable fields")
-            if limit is not None:
-                table = table.orderBy(order).limit(limit) if order in table.columns else table.limit(limit)
-            done.append(ClassifiedFrame(name, mask(table, actions), tuple(actions)))
-        except (PySparkException, ValueError, OSError) as error:
+            done.append(ClassifiedFrame(name, mask(table, actions, key=None), tuple(actions)))
+        except TABLE_ERRORS as error:
             skipped.append((name, str(error)[: rules.SKIP_DETAIL_MAX]))
     if objects and not done:
         raise RuntimeError("every object failed; nothing is published")
-    return done, spark.createDataFrame(skipped, "object string, reason string")
+    return done, spark.createDataFrame(skipped, SKIP_COLUMNS)
 
 
-def export(spark: SparkSession, target: str, tables: list[ClassifiedFrame], skipped: DataFrame) -> str:
-    """Publish masked objects, skips and audit as one snapshot."""
-    audit = tables[0].audit()
-    for table in tables[1:]:
-        audit = audit.unionByName(table.audit())
-    artefacts = {t.name: t.frame for t in tables}
-    return publish(spark, target, {**artefacts, "skipped": skipped, SENTINEL: audit}, SENTINEL, preceding=("skipped",))
+def export(
+    spark: SparkSession, target: str, tables: list[ClassifiedFrame], skipped: DataFrame, limit: int | None = None
+) -> str:
+    """Publish masked objects, skips, summary and audit as one snapshot.
+
+    Every object is read, written and checked on its own: one that fails while its rows
+    are read becomes a skip row, the others are published.  A gate refuses the run.
+    """
+    with Publication(spark, target, SENTINEL) as run:
+        done = [t for t in tables if run.attempt(t.name, lambda t=t: _checked(t))]
+        if not done:
+            raise RuntimeError("every object failed; nothing is published")
+        for table in done:
+            check_values(table.name, run.written[table.name], table.actions)
+        late = spark.createDataFrame(sorted(run.failed.items()), SKIP_COLUMNS)
+        run.write("skipped", skipped.unionByName(late))
+        audit = union_all([table.audit() for table in done])
+        counted = spark.createDataFrame([(t.name, run.rows[t.name]) for t in done], "object string, n_rows bigint")
+        run.write(SUMMARY, audits.technical_summary(audit, counted, run.written["skipped"], limit))
+        run.write(SENTINEL, audit)
+        run.commit()
+        return run.run
+
+
+def _checked(table: ClassifiedFrame) -> DataFrame:
+    check_header(table)
+    return table.frame

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hushframe.operators.gates import GateError
 from hushframe.operators.mask import ClassifiedFrame, as_cells
@@ -55,6 +57,23 @@ def append_slices(table: ClassifiedFrame, path: str, partitions: tuple[str, ...]
     table.frame.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
+def write_dated_csv(table: ClassifiedFrame, path: str, day: str = "log_date") -> None:
+    """One folder per day; a day that holds most of the rows is split by adaptive execution."""
+    check_header(table, (day,))
+    names = [F.col(f"`{c}`") for c in table.frame.columns if c != day]
+    dated = as_cells(table.frame).select(*names, day).hint("rebalance", day)
+    _write(dated, path, "overwrite", (day,))
+
+
+def read_dated_csv(spark: SparkSession, path: str, table: ClassifiedFrame | None = None, day: str = "log_date") -> DataFrame:
+    """What :func:`write_dated_csv` wrote, all cells as text."""
+    reader = spark.read.options(**{k: _CSV[k] for k in ("header", "quote", "escape", "nullValue")}, multiLine=True)
+    if table is not None:
+        names = [c for c in table.frame.columns if c != day]
+        reader = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in [*names, day]]))
+    return reader.csv(path)
+
+
 def write_report(frame: DataFrame, path: str) -> None:
     """An audit, a skip report or a summary as CSV."""
     _write(frame, path, "overwrite")

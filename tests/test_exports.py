@@ -1,6 +1,7 @@
 """Whole runs: extract, publish, append, stream."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +97,123 @@ def test_event_export(spark, tmp_path):
     assert eventlogs.export(spark, target, {}, done, run) is None
 
 
+def test_event_run(spark, tmp_path):
+    target = str(tmp_path / "run")
+    days = [dt.date(2026, 6, d) for d in (4, 7, 8, 9)]
+    torn = tmp_path / "torn.parquet"
+    torn.write_bytes(b"PAR1 torn")
+    bodies = {
+        "Login": login_rows(spark, *days),
+        "Hidden": login_rows(spark, *days).select("QUERY", "log_date"),
+        "Torn": spark.read.schema("USER_ID string, log_date date").parquet(str(torn)),
+    }
+    skips = spark.createDataFrame([("API", "fetch failed")], "event_type string, reason string")
+    plan = Plan(scope=["Login", "Hidden", "Torn"])
+    assert eventlogs.run(spark, target, bodies, dt.date(2026, 6, 9), plan, skips) == (dt.date(2026, 5, 11), dt.date(2026, 6, 8))
+    assert eventlogs.run(spark, target, bodies, dt.date(2026, 6, 9), plan, skips) is None
+    assert eventlogs.read_rows(spark, target, "Login").count() == 3
+    assert eventlogs.run(spark, target, bodies, dt.date(2026, 6, 10), plan) == (dt.date(2026, 6, 9), dt.date(2026, 6, 9))
+    rows = eventlogs.read_rows(spark, target, "Login")
+    assert rows.count() == 4 and "QUERY" not in rows.columns and eventlogs.read_rows(spark, target, "Hidden") is None
+    row = rows.first()
+    assert (row["CLIENT_IP"], row["URI"]) == ("203.0.113.0", "/home") and len(row["USER_NAME"]) == 64
+    lost = sorted((r["window"], r["event_type"]) for r in eventlogs.read_part(spark, target, eventlogs.SKIPPED).collect())
+    assert lost == [("2026-05-11_to_2026-06-08", "API"), ("2026-05-11_to_2026-06-08", "Torn"), ("2026-06-09_to_2026-06-09", "Torn")]
+    audit = {(r["window"], r["column"]): (r["action"], r["event_types"]) for r in eventlogs.read_part(spark, target, eventlogs.SENTINEL).collect()}
+    assert audit["2026-06-09_to_2026-06-09", "QUERY"] == ("DROP", "Hidden,Login")
+    summary = {r["window"]: json.loads(r["summary"]) for r in eventlogs.read_part(spark, target, eventlogs.SUMMARY).collect()}
+    assert summary["2026-05-11_to_2026-06-08"]["records_by_type"] == {"Login": 3} and summary["2026-05-11_to_2026-06-08"]["skipped"] == 2
+    assert [e["rows"] for e in eventlogs.finished_runs(spark, target)] == [3, 1]
+
+
+def test_event_run_of_two_at_once_and_refused(spark, tmp_path, monkeypatch):
+    target = str(tmp_path / "run")
+    bodies = {"Login": login_rows(spark, dt.date(2026, 6, 8))}
+    first, inner = eventlogs.run_summary, []
+
+    def other_run_first(*args):
+        if not inner:
+            inner.append(True)
+            eventlogs.run(spark, target, bodies, dt.date(2026, 6, 9))
+        return first(*args)
+
+    monkeypatch.setattr(eventlogs, "run_summary", other_run_first)
+    eventlogs.run(spark, target, bodies, dt.date(2026, 6, 9))
+    assert eventlogs.read_rows(spark, target, "Login").count() == 1
+    assert len(list((tmp_path / "run" / "runs").iterdir())) == 1
+    leak = {"Login": login_rows(spark, dt.date(2026, 6, 9)).withColumn("COUNTRY_CODE", F.lit("jane@example.com"))}
+    with pytest.raises(GateError, match="COUNTRY_CODE: clear e-mail"):
+        eventlogs.run(spark, target, leak, dt.date(2026, 6, 10))
+    with pytest.raises(RuntimeError):
+        eventlogs.run(spark, target, {"X": spark.range(1).select(F.raise_error(F.lit("no")).cast("string").alias("USER_ID"), F.lit(dt.date(2026, 6, 9)).alias("log_date"))}, dt.date(2026, 6, 10))
+    assert len(eventlogs.finished_runs(spark, target)) == 1 and len(list((tmp_path / "run" / "runs").iterdir())) == 1
+
+
+def test_two_publications_at_once(spark, tmp_path):
+    target = str(tmp_path / "out")
+    with publishing.Publication(spark, target, "audit") as slow:
+        slow.write("rows", spark.range(3))
+        publishing.publish(spark, target, {"rows": spark.range(7), "audit": spark.range(1)}, "audit")
+        assert publishing.purge_superseded(spark, target) == 0  # the slow run is leased
+        slow.write("audit", spark.range(1))
+        number = slow.commit()
+    assert number == 2 and slow.rows == {"rows": 3, "audit": 1}
+    with publishing.held_snapshot(spark, target) as held:
+        publishing.publish(spark, target, {"rows": spark.range(9), "audit": spark.range(1)}, "audit")
+        assert publishing.purge_superseded(spark, target) == 1  # the first; the held one stays
+        assert held("rows").count() == 3
+    assert publishing.purge_superseded(spark, target) == 1
+    assert publishing.read_published(spark, target, "rows").count() == 9
+
+
+def test_a_marker_number_is_taken_once(spark, tmp_path, monkeypatch):
+    target = str(tmp_path / "out")
+    publishing.publish(spark, target, {"audit": spark.range(1)}, "audit")
+    with publishing.Publication(spark, target, "audit") as run:
+        run.write("audit", spark.range(2))
+        seen = publishing._numbers
+        monkeypatch.setattr(publishing, "_numbers", lambda *a: [n for n in seen(*a) if n > 1])  # as listed before the first
+        assert run.commit() == 2
+    monkeypatch.undo()
+    assert publishing.read_published(spark, target, "audit").count() == 2
+
+
+def test_leases_run_out(spark, tmp_path):
+    target = str(tmp_path / "out")
+    publishing.publish(spark, target, {"audit": spark.range(1)}, "audit")
+    run = publishing.Publication(spark, target, "audit", lease=-1)
+    run.write("audit", spark.range(5))
+    assert publishing.purge_superseded(spark, target) == 1
+    assert list((tmp_path / "out" / "leases").glob("*.json")) == []
+
+
+def test_technical_quarantine(spark, tmp_path):
+    fields = spark.createDataFrame(
+        [("LoginHistory", 0, "Id", "id", True), ("LoginHistory", 1, "SourceIp", "string", True),
+         ("SetupAuditTrail", 0, "Display", "string", True), ("ApexClass", 0, "Name", "string", True)],
+        "object string, position int, name string, type string, queryable boolean")
+    torn = tmp_path / "torn.parquet"
+    torn.write_bytes(b"PAR1 torn")
+    tables = {"LoginHistory": spark.createDataFrame([("1", "10.0.1.42")], "id string, sourceip string"),
+              "SetupAuditTrail": spark.createDataFrame([("text",)], "Display string"),
+              "ApexClass": spark.read.schema("Name string").parquet(str(torn))}
+    done, skipped = technical.extract(spark, tables.__getitem__, fields, list(tables))
+    target = str(tmp_path / "tech")
+    technical.export(spark, target, done, skipped, limit=5)
+    assert [tuple(r) for r in publishing.read_published(spark, target, "LoginHistory").collect()] == [("1", "10.0.1.0")]
+    assert publishing.read_published(spark, target, "SetupAuditTrail").columns == []
+    assert [r["object"] for r in publishing.read_published(spark, target, "skipped").collect()] == ["ApexClass"]
+    summary = json.loads(publishing.read_published(spark, target, technical.SUMMARY).first()["summary"])
+    assert [(o["object"], o["rows"], o["columns"]) for o in summary["objects"]] == [("LoginHistory", 1, 2), ("SetupAuditTrail", 0, 0)]
+    assert summary["limit"] == 5 and [s["object"] for s in summary["skipped"]] == ["ApexClass"]
+    with pytest.raises(RuntimeError):
+        technical.export(spark, target, done[2:], skipped)
+    leak = ClassifiedFrame("LoginHistory", tables["LoginHistory"].toDF("Id", "SourceIp"), done[0].actions)
+    with pytest.raises(GateError, match="raw address"):
+        technical.export(spark, target, [leak], skipped)
+    assert publishing.read_published(spark, target, "LoginHistory").count() == 1
+
+
 def test_event_plan_text(spark):
     headers = spark.createDataFrame([("1", "Login", "CLIENT_IP,QUERY"), ("2", "API", "CLIENT_IP,URI")], "Id string, EventType string, LogFileFieldNames string")
     text = eventlogs.plan_text(headers)
@@ -115,7 +233,7 @@ def test_technical_export(spark, tmp_path):
 
     done, skipped = technical.extract(spark, open_table, fields, ["LoginHistory", "SetupAuditTrail", "ApexClass"], limit=1)
     assert [tuple(r) for r in done[0].frame.collect()] == [("1", "10.0.1.0")]
-    assert done[1].frame.columns == ["Id"]
+    assert done[1].frame.columns == [] and done[1].frame.count() == 0
     assert [r["object"] for r in skipped.collect()] == ["ApexClass"]
     target = str(tmp_path / "tech")
     technical.export(spark, target, done, skipped)
