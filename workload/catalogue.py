@@ -7,6 +7,7 @@ from workload import (  # noqa: F401
     landing,
     narrowing,
     outputs,
+    runs,
     summaries,
     values,
 )
