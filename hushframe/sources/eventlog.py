@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import csv
-from functools import reduce
-from urllib.parse import unquote
+import itertools
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushframe.functions.text import strip
+from hushframe.session import staged_path
+
+#: Bytes of file names and headers of all blocks that travel to every task at most.
+BLOCK_LIST_BYTES = 32 << 20
 
 
 def field_names(raw: Column) -> Column:
@@ -32,56 +39,250 @@ def headers_per_type(headers: DataFrame) -> DataFrame:
     )
 
 
-def file_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, header): the first line of every file that has one; ``file`` is URL-encoded.
-
-    Rows are numbered within the block that starts a file, and a partial minimum
-    leaves one row per file before the shuffle.
-    """
-    lines = spark.read.text(paths).select(
+def file_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, size, start, value): the lines of all files by block, in the order of each block."""
+    return spark.read.option("lineSep", "\n").text(paths).select(
         F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_size").alias("size"),
         F.col("_metadata.file_block_start").alias("start"),
         "value",
-        F.monotonically_increasing_id().alias("row"),
     )
-    return lines.where(F.col("start") == 0).groupBy("file").agg(F.min_by("value", "row").alias("header"))
+
+
+def _stripped(header: Column) -> Column:
+    return F.regexp_replace(F.rtrim(header, F.lit("\r")), "^\ufeff", "")
+
+
+def distinct_headers(lines: DataFrame) -> list[str]:
+    """The first lines of the files, each once, in the order of the files."""
+    numbered = lines.where("start = 0").withColumn("row", F.monotonically_increasing_id())
+    first = numbered.groupBy("file").agg(_stripped(F.min_by("value", "row")).alias("header"))
+    found = first.groupBy("header").agg(F.min("file").alias("file")).orderBy("file")
+    return [row["header"] for row in found.collect()]
+
+
+def _bytes_of(spark: SparkSession, setting: str) -> int:
+    return spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(setting))
+
+
+def maybe_split(lines: DataFrame) -> DataFrame:
+    """Lines of files that are large enough to be read in several blocks; others are not even opened."""
+    spark = lines.sparkSession
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    return lines.where(F.col("size") > min(_bytes_of(spark, n) for n in names))
+
+
+def file_blocks(lines: DataFrame) -> DataFrame:
+    """(file, start, open, crossed, header), one row per block of a file.
+
+    A block turns the state "inside a quoted cell" if it holds an odd number of quotes.
+    These maps are composed along a file, so ``open`` tells the state in which a block
+    begins, and ``crossed`` whether a row reaches over either of its ends.  ``header`` is
+    the first line of the file.  A quote counts wherever it stands, as in files that
+    quote every cell holding one; a header is one line.
+    """
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    first = F.when(F.col("start") == 0, F.struct(F.monotonically_increasing_id().alias("row"), "value"))
+    blocks = lines.withColumn("first", first).groupBy("file", "start").agg(
+        F.pmod(F.sum(quotes), F.lit(2)).cast("int").alias("odd"), F.min("first")["value"].alias("line")
+    )
+    along = Window.partitionBy("file").orderBy("start")
+    state = F.pmod(F.sum("odd").over(along), F.lit(2))
+    whole = Window.partitionBy("file")
+    header = _stripped(F.first("line", ignorenulls=True).over(whole))
+    return blocks.select(
+        "file",
+        "start",
+        (F.pmod(state - F.col("odd"), F.lit(2)) == 1).alias("open"),
+        ((state == 1) | (F.pmod(state - F.col("odd"), F.lit(2)) == 1)).alias("crossed"),
+        header.alias("header"),
+    )
 
 
 def _names(header: str) -> list[str]:
-    return [name.strip() for name in next(csv.reader([header.removeprefix("\ufeff")]), [])]
+    return [name.strip() for name in next(csv.reader([header]), [])]
+
+
+class _Rows:
+    """Cells of whole rows in the wanted columns, by the header of their file."""
+
+    def __init__(self, wanted: list[str]):
+        self.wanted, self.places = wanted, {}
+        csv.field_size_limit((1 << 31) - 1)
+
+    def cells(self, header: str, records: list[str]) -> list[list[str]]:
+        places = self.places.get(header)
+        if places is None:
+            at = {name: k for k, name in enumerate(_names(header))}  # of a repeated name the last
+            places = self.places[header] = [at.get(name, -1) for name in self.wanted]
+        columns = [[] for _ in self.wanted]
+        for row in _parsed(records):
+            for column, place in zip(columns, places):
+                column.append(row[place] if 0 <= place < len(row) else "")
+        return columns
+
+    def batch(self, header: str, records: list[str]) -> pa.RecordBatch:
+        columns = [pa.array(c, pa.string()) for c in self.cells(header, records)]
+        return pa.RecordBatch.from_arrays(columns, self.wanted)
+
+
+def _parsed(records: list[str]) -> list[list[str]]:
+    """The cells of each record; one that is not well formed does not disturb its neighbours."""
+    try:
+        rows = list(csv.reader(records))
+        if len(rows) == len(records):
+            return rows
+    except csv.Error:
+        pass
+    rows = []
+    for record in records:
+        try:
+            rows.append(next(csv.reader([record]), []))
+        except csv.Error:  # a bare carriage return outside of quotes
+            rows.append(next(csv.reader([record.replace("\r", " ")]), []))
+    return rows
+
+
+def _record(lines: list[str]) -> str:
+    return "\n".join(lines).removesuffix("\r")
+
+
+def _segments(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    """The stretches of a batch that lie in one block."""
+    files, starts = batch.column("file").to_pylist(), batch.column("start").to_pylist()
+    at = 0
+    for key, group in itertools.groupby(zip(files, starts)):
+        n = sum(1 for _ in group)
+        yield key, batch.slice(at, n)
+        at += n
+
+
+def _whole_rows(lines: DataFrame, wanted: list[str]) -> DataFrame:
+    """Rows that begin and end in one block.
+
+    ``lines`` come block by block, in order, with the state and the header of blocks that do not begin a file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, block, inside, held, header = _Rows(wanted), None, False, None, ""
+        for batch in batches:
+            for key, part in _segments(batch):
+                values, skip = part.column("value").to_pylist(), 0
+                if key != block:  # a row left over from the last block is a fragment, see _fragments
+                    block, inside = key, part.column("open")[0].as_py()
+                    held = None if inside else []
+                    skip = int(key[1] == 0)
+                    header = values[0].removesuffix("\r").removeprefix("\ufeff") if skip else part.column("header")[0].as_py()
+                odd = np.asarray(pc.count_substring(part.column("value"), '"')) & 1
+                records = []
+                for value, turns in zip(values[skip:], odd[skip:].tolist()):
+                    inside ^= bool(turns)
+                    if held is not None:
+                        held.append(value)
+                    if not inside:
+                        if held is not None and (len(held) > 1 or held[0].strip("\r")):
+                            records.append(_record(held))
+                        held = []
+                if records:
+                    yield rows.batch(header, records)
+
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in wanted])
+    return lines.mapInArrow(run, schema)
+
+
+def _fragments(lines: DataFrame) -> DataFrame:
+    """(file, start, closes, header, text): the pieces of rows that cross the ends of blocks, two per block at most.
+
+    ``closes`` tells a piece that ends a row from one that begins it or is its middle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, inside, held, head, header = None, False, [], False, ""
+
+        def out(closes: bool) -> pa.RecordBatch:
+            columns = [[block[0]], [block[1]], [closes], [header], ["\n".join(held)]]
+            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.string())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["file", "start", "closes", "header", "text"]
+            )
+
+        for batch in batches:
+            for key, part in _segments(batch):
+                values, skip = part.column("value").to_pylist(), 0
+                if key != block:
+                    if block is not None and inside:
+                        yield out(False)
+                    block, inside, held = key, part.column("open")[0].as_py(), []
+                    header, head, skip = part.column("header")[0].as_py(), inside, int(key[1] == 0)
+                odd = np.asarray(pc.count_substring(part.column("value"), '"')) & 1
+                for value, turns in zip(values[skip:], odd[skip:].tolist()):
+                    inside ^= bool(turns)
+                    held.append(value)
+                    if not inside:
+                        if head:
+                            yield out(True)
+                        held, head = [], False
+        if block is not None and inside:
+            yield out(False)
+
+    return lines.mapInArrow(run, "file string, start bigint, closes boolean, header string, text string")
+
+
+def _crossing_rows(lines: DataFrame, wanted: list[str]) -> DataFrame:
+    """Rows put together from the pieces that blocks hold of them."""
+    along = Window.partitionBy("file").orderBy("start", F.col("closes").desc())
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    # A piece that closes a row ends its group; in a block it stands before the one that opens the next.
+    pieces = _fragments(lines).withColumn("row", F.coalesce(F.count_if("closes").over(before), F.lit(0)))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda p: p["text"])
+    joined = pieces.groupBy("file", "row", "header").agg(F.array_join(texts, "\n").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _Rows(wanted)
+        for batch in batches:
+            for header, text in zip(batch.column("header").to_pylist(), batch.column("text").to_pylist()):
+                yield rows.batch(header, [text.removesuffix("\r")])
+
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in wanted])
+    return joined.select("header", "text").mapInArrow(run, schema)
 
 
 def read_bodies(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None) -> DataFrame:
-    """Rows of CSV files, each read by its own header.
-
-    Files are grouped by their real header line, and a cell belongs to the name
-    above it; of a name that stands twice in a header the last counts.  The result
-    has ``columns``, or all names of all files.  All cells are text: columns that a
-    file lacks and short rows are padded with '', cells beyond the header are cut.
-    Headers cost a scan of lines without parsing them; what comes to the driver is
-    the list of files, which Spark's own listing holds there as well.
+    """Rows of CSV files, each read by its own header, a large file by many tasks.
+
+    Quoted cells may hold line ends, so the state in which a block begins is composed
+    from the blocks before it; rows that cross the end of a block are put together from
+    their pieces.  A cell belongs to the name above it; of a name that stands twice in
+    a header the last counts.  The result has ``columns``, or all names of all files in
+    the order of the files.  All cells are text: columns that a file lacks and short
+    rows are padded with '', cells beyond the header are cut, empty lines are no rows.
+    Files that are too small to be split are read once, by their own first line; the
+    others are scanned for quotes first.  What comes to the driver is one row per
+    distinct header, and that only if ``columns`` are not given.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for row in file_headers(spark, paths).orderBy("file").collect():
-        groups.setdefault(tuple(_names(row["header"])), []).append(unquote(row["file"]))
-    wanted = columns if columns is not None else list(dict.fromkeys(n for names in groups for n in names if n))
-    parts = [_read_group(spark, files, names, wanted) for names, files in groups.items()]
-    if not parts:
-        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in wanted]))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _read_group(spark: SparkSession, files: list[str], names: tuple[str, ...], wanted: list[str]) -> DataFrame:
-    """``wanted`` columns of files whose header is ``names``; cells are named by place, as names may repeat."""
-    schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))])
-    rows = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("enforceSchema", True)
-        .csv(files)
-    )
-    places = {name: f"c{k}" for k, name in enumerate(names)}
-    cells = [F.coalesce(F.col(places[c]), F.lit("")) if c in places else F.lit("") for c in wanted]
-    return rows.select(*[cell.alias(c) for cell, c in zip(cells, wanted)])
+    lines = file_lines(spark, paths)
+    wanted = columns
+    if wanted is None:
+        wanted = list(dict.fromkeys(n for header in distinct_headers(lines) for n in _names(header) if n))
+    if not wanted:
+        return spark.createDataFrame([], T.StructType([]))
+    large = maybe_split(lines)
+    if large.isEmpty():
+        return _whole_rows(lines.withColumns({"open": F.lit(False), "header": F.lit("")}), wanted)
+    path = staged_path(spark, "blocks")
+    file_blocks(large).write.parquet(path)
+    blocks = spark.read.parquet(path)
+    size = blocks.agg(
+        F.sum(F.octet_length("file") + F.octet_length("header")).alias("bytes"), F.count_if("crossed").alias("crossed")
+    ).first()
+    if (size["bytes"] or 0) <= BLOCK_LIST_BYTES:
+        stated = lines.join(F.broadcast(blocks), ["file", "start"], "left")
+    else:  # too many blocks to send along: lines meet their block's state in the order of the block
+        numbered = lines.withColumn("at", F.monotonically_increasing_id())
+        stated = numbered.join(blocks, ["file", "start"], "left").repartition("file", "start").sortWithinPartitions("file", "start", "at")
+    no = F.lit(False)
+    stated = stated.select("file", "start", F.coalesce("open", no).alias("open"), F.coalesce("crossed", no).alias("crossed"), "header", "value")
+    rows = _whole_rows(stated, wanted)
+    if not size["crossed"]:
+        return rows
+    return rows.unionByName(_crossing_rows(stated.where("crossed"), wanted))

@@ -1,5 +1,6 @@
 """Payload and event-log readers."""
 
+import csv
 import datetime as dt
 import json
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hushframe.operators.incremental import completed, open_window, split_bad, window_plan
 from hushframe.plans import eventlogs
-from hushframe.sources import payloads
+from hushframe.sources import eventlog, payloads
 from hushframe.sources.eventlog import columns_by_type, read_bodies
 
 
@@ -129,3 +130,42 @@ def test_landed_files(spark, tmp_path):
     landed = payloads.landed(spark, str(tmp_path))
     assert payloads.read_record_counts(landed).select("ObjectName", "RecordCount").collect()[0] == ("A", 1)
     assert landed.select(F.col("path").endswith("x.json")).first()[0]
+
+
+def test_one_quoted_file_is_read_by_several_tasks(spark, tmp_path):
+    path = tmp_path / "large.csv"
+    cells = ["plain", 'with "quotes"', "two\nlines", "a,b", "", "\r\nreturns\r\n", "long " * 400 + "\n" + "x" * 3000]
+    expected = []
+    with path.open("w", newline="", encoding="utf-8") as out:
+        writer = csv.writer(out, lineterminator="\r\n")
+        writer.writerow(["A", "B", "A", " C "])
+        for k in range(400):
+            row = [str(k), cells[k % len(cells)], f"last {k}", cells[(k // 7) % len(cells)]]
+            expected.append(tuple(row[1:]))
+            writer.writerow(row[:3] if k % 50 == 49 else [*row, "beyond"] if k % 50 == 48 else row)
+    expected = [(b, a, "" if k % 50 == 49 else c) for k, (b, a, c) in enumerate(expected)]
+    (tmp_path / "small.csv").write_text("C,D\n1,2\n\n3\n")
+    (tmp_path / "empty.csv").write_text("")
+    expected += [("", "", "1"), ("", "", "3")]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    limit = eventlog.BLOCK_LIST_BYTES
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        for size in ("700b", "20000b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            if size != "128m":
+                assert eventlog.file_blocks(eventlog.file_lines(spark, str(path))).count() > 3
+            for eventlog.BLOCK_LIST_BYTES in (limit, 0):
+                found = read_bodies(spark, str(tmp_path), ["B", "A", "C"])
+                assert sorted(map(tuple, found.collect())) == sorted(expected)
+        assert read_bodies(spark, str(tmp_path)).columns == ["A", "B", "C", "D"]
+    finally:
+        eventlog.BLOCK_LIST_BYTES = limit
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def test_badly_formed_rows_stay_alone(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'A,B\nx"y,"z\n1,2\n5" pipe,3" pipe\nc\rd,e\n')
+    rows = sorted(map(tuple, read_bodies(spark, str(tmp_path)).collect()))
+    assert rows == [("1", "2"), ('5" pipe', '3" pipe'), ("c d", "e"), ('x"y', "z")]
