@@ -1,10 +1,11 @@
 """Line dedup: repeated lines leave every document but the last that holds them.
 
-Line hashes are range-partitioned with the document and the position as
-secondary sort, so that a line found in a third of all documents is spread over
-as many partitions as its rows need.  Each partition streams its sorted rows and
-keeps one per line and document; these are counted per line after a partial
-count.  What goes back to a document is a bitmap of the lines it keeps, not text.
+Line hashes are written once, then range-partitioned with the document and the
+position as secondary sort, so that a line found in a third of all documents is
+spread over as many partitions as its rows need.  Each partition streams its sorted
+rows and takes the first occurrence of a line in a document; these are counted per
+line after a partial count.  What goes back to a document is a bitmap of the lines
+it keeps, not text.
 
 Defined cases: a null or empty text is one empty line; lines whose key is shorter
 than ``min_chars`` always stay; a null id ranks below every other id; rows that
@@ -15,10 +16,10 @@ empty result.  Only the id and text are read; extra columns pass through
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import BLANKS, LOWER, UPPER, row_key, text_of
+from hushframe.llm.common import BLANKS, LOWER, UPPER, row_key, staged, text_of
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -54,16 +55,21 @@ def keep_bitmaps(
             F.xxhash64("line").alias("h1"), F.xxhash64(F.concat(F.lit("#"), F.col("line"))).alias("h2"), "id", "row", "pos"
         )
     )
-    order = [F.col("h1"), F.col("h2"), F.col("id").desc_nulls_last(), F.col("pos")]
+    # Written once: the range sample, the counts and the losses all read it.
+    lines = staged(lines, "lines")
+    order = [F.col(c) for c in ("h1", "h2", "id", "row", "pos")]
     ranged = lines.repartitionByRange(*order[:3]).sortWithinPartitions(*order)
-    # All rows of a line in a document lie in one partition, so this has no shuffle.
-    held = ranged.groupBy("h1", "h2", "id").agg(F.first("pos").alias("first_pos"))
+    # A line of one document lies in one partition, so its first occurrence is the first row of its run in the sorted stream.
+    run = Window.partitionBy("h1", "h2", "id").orderBy("row", "pos")
+    firsts = ranged.withColumn("nth", F.row_number().over(run)).filter(F.col("nth") == 1)
     repeated = (
-        held.groupBy("h1", "h2")
+        firsts.groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("keeper"))
         .filter(F.col("n_docs") >= min_docs)
         .select("h1", "h2", "keeper")
     )
+    # Read back, so that the join sees a table of its own and can split a line that a third of all rows hold.
+    repeated = staged(repeated, "repeated-lines")
     lost = (
         lines.join(repeated, ["h1", "h2"])
         .filter(~F.col("id").eqNullSafe(F.col("keeper")))
