@@ -7,7 +7,8 @@ full, its largest subtrees leave as sorted runs.  Runs meet by the prefix of the
 sort of the shuffle merges them, and a pass over the sorted rows adds up equal phrases, so
 no group is ever held.  What a frequent phrase sends is bounded by the tasks and their
 spills, not by its occurrences.  Only phrases that are frequent are spelled, by one more
-pass over the texts.
+pass over the texts: a count carries a witness, sixteen bits of the least hash of a text
+that holds the phrase, and only such texts spell it.
 
 A phrase is as frequent as each part of it at most.  So phrases of k words are counted
 only where both of their parts of k - 1 words may be frequent, by a bitmap of fixed size
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hushframe.llm.common import slices, staged, text_of
+from hushframe.llm.common import row_key, slices, staged, text_of
 from hushframe.llm.substrings import mixed
 from hushframe.llm.wordscan import find_words, hashed
 
@@ -47,6 +48,10 @@ BATCH = 1 << 16
 #: Bits of the map of frequent phrases, and of one piece of it.
 MAP = 1 << 26
 PIECE = 1 << 15
+#: Low bits of a text's hash that name it as the witness of a phrase: the least one that holds it spells it.
+WITNESS = 16
+#: Bits that a phrase and its witness mark.
+MARKS = 3
 #: Leading bits of a hash that name its partition.
 PREFIX = 20
 #: Parts of a language that are ranked on their own before its best are.
@@ -60,7 +65,7 @@ _INSIDE[list(b" \t")] = False
 
 
 class Container:
-    """Phrase hashes with their counts and routes; what came last is added up when it outgrows the rest."""
+    """Phrase hashes, counts, witnesses and routes; what came last is added up when it outgrows the rest."""
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, ...]] = []
@@ -73,17 +78,22 @@ class Container:
             self.settle()
 
     def settle(self) -> tuple[np.ndarray, ...]:
-        """(hash, count, route) in the order of the hashes, each once."""
+        """(hash, count, witness, route) in the order of the hashes, each once."""
         if len(self.parts) > 1 or self.size != self.settled:
-            h, n, route = (np.concatenate(c) for c in zip(*self.parts))
-            order = np.argsort(h)
-            h = h[order]
-            start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            self.parts = [(h[start], np.add.reduceat(n[order], start), route[order][start])]
+            h, n, seen, route = (np.concatenate(c) for c in zip(*self.parts))
+            order, start = _grouped(h)
+            first = order[start]
+            self.parts = [(h[first], np.add.reduceat(n[order], start), np.minimum.reduceat(seen[order], start), route[first])]
             self.size = self.settled = len(start)
         return self.parts[0]
 
 
+def _grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, start): places in the order of their hashes, and where each hash begins."""
+    order = np.argsort(h)
+    return order, np.flatnonzero(np.append(True, h[order[1:]] != h[order[:-1]])) if len(h) else np.zeros(0, np.int64)
+
+
 class HatTrie:
     """Counts of phrases by their words' ids: a node branches on eight bits of the next one's."""
 
@@ -91,22 +101,22 @@ class HatTrie:
         self.levels = min(size, DEPTH)
         self.root: dict[int, dict | Container] = {}
 
-    def add(self, h: np.ndarray, n: np.ndarray, route: np.ndarray) -> None:
+    def add(self, h: np.ndarray, n: np.ndarray, seen: np.ndarray, route: np.ndarray) -> None:
         """Count phrases; byte k of ``route``, from the lowest, leads on in a node of depth k."""
-        self._into(self.root, 0, h, n, route)
+        self._into(self.root, 0, h, n, seen, route)
 
-    def _into(self, node: dict, depth: int, h: np.ndarray, n: np.ndarray, route: np.ndarray) -> None:
+    def _into(self, node: dict, depth: int, h: np.ndarray, n: np.ndarray, seen: np.ndarray, route: np.ndarray) -> None:
         digit = (route >> (8 * depth)) & 255
         order = np.argsort(digit, kind="stable")
-        h, n, route, digit = h[order], n[order], route[order], digit[order]
+        h, n, seen, route, digit = h[order], n[order], seen[order], route[order], digit[order]
         start = np.flatnonzero(np.append(True, digit[1:] != digit[:-1])) if len(digit) else []
         for a, z in zip(start, np.append(start[1:], len(digit))):
             child = node.setdefault(int(digit[a]), None) or Container()
             if isinstance(child, dict):
-                self._into(child, depth + 1, h[a:z], n[a:z], route[a:z])
+                self._into(child, depth + 1, h[a:z], n[a:z], seen[a:z], route[a:z])
                 continue
             node[int(digit[a])] = child
-            child.add(h[a:z], n[a:z], route[a:z])
+            child.add(h[a:z], n[a:z], seen[a:z], route[a:z])
             if child.size > BURST and depth + 1 < self.levels and len(child.settle()[0]) > BURST:
                 burst: dict = {}
                 self._into(burst, depth + 1, *child.settle())
@@ -115,8 +125,8 @@ class HatTrie:
     def held(self) -> int:
         return sum(map(_size, self.root.values()))
 
-    def spilled(self, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(hash, count) of the largest subtrees, each sorted, until at most ``keep`` phrases are held."""
+    def spilled(self, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(hash, count, witness) of the largest subtrees, each sorted, until at most ``keep`` phrases are held."""
         trees = sorted(((_size(child), digit) for digit, child in self.root.items()), reverse=True)
         held = sum(size for size, _ in trees)
         for size, digit in trees:
@@ -124,9 +134,9 @@ class HatTrie:
                 break
             held -= size
             parts = [c.settle() for c in _containers(self.root.pop(digit))]
-            h, n = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            h, n, seen = (np.concatenate([p[k] for p in parts]) for k in range(3))
             order = np.argsort(h)
-            yield h[order], n[order]
+            yield h[order], n[order], seen[order]
 
 
 def _containers(node: dict | Container) -> Iterator[Container]:
@@ -195,12 +205,13 @@ def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _runs(rows: DataFrame, size: int, frequent: np.ndarray | None) -> DataFrame:
-    """(h, n): the sorted runs of all tasks."""
+    """(h, n): the sorted runs of all tasks; the low bits of ``n`` hold the witness, the others the count."""
 
     def out(trie: HatTrie, keep: int) -> Iterator[pa.RecordBatch]:
-        for h, n in trie.spilled(keep):
+        for h, n, seen in trie.spilled(keep):
+            packed = n << WITNESS | seen
             for at in range(0, len(h), BATCH):
-                columns = [pa.array(h[at : at + BATCH].view(np.int64)), pa.array(n[at : at + BATCH])]
+                columns = [pa.array(h[at : at + BATCH].view(np.int64)), pa.array(packed[at : at + BATCH])]
                 yield pa.RecordBatch.from_arrays(columns, ["h", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +219,12 @@ def _runs(rows: DataFrame, size: int, frequent: np.ndarray | None) -> DataFrame:
         for batch in slices(batches, "text"):
             held = Slice(batch.column("text"), batch.column("lang").to_pylist())
             places, whole = held.phrases(size, frequent)
-            h, first, n = np.unique(whole, return_index=True, return_counts=True)
-            trie.add(h, n.astype(np.int64), held.route(places[first], size))
+            order, start = _grouped(whole)
+            if not len(start):
+                continue
+            n, first = np.diff(np.append(start, len(order))), order[start]
+            seen = _witness(batch)[held.text[places]]
+            trie.add(whole[first], n, np.minimum.reduceat(seen[order], start), held.route(places[first], size))
             if trie.held() > FULL:
                 yield from out(trie, FULL // 2)
         yield from out(trie, 0)
@@ -217,36 +232,67 @@ def _runs(rows: DataFrame, size: int, frequent: np.ndarray | None) -> DataFrame:
     return rows.mapInArrow(count, "h bigint, n bigint")
 
 
+def _witness(batch: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(batch.column("row")) & ((1 << WITNESS) - 1)
+
+
 def _merged(runs: DataFrame, min_count: int) -> DataFrame:
-    """(h, n) of the phrases found ``min_count`` times or more, from runs merged per prefix partition."""
+    """(h, n, seen) of the phrases found ``min_count`` times or more, from runs merged per prefix partition."""
     together = runs.repartition(F.shiftright("h", 64 - PREFIX)).sortWithinPartitions("h")
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        def out(h: np.ndarray, n: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
             often = n >= min_count
-            return pa.RecordBatch.from_arrays([pa.array(h[often]), pa.array(n[often])], ["h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c[often]) for c in (h, n, seen)], ["h", "n", "seen"])
 
-        last_h, last_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        last = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            h = np.concatenate([last_h, np.asarray(batch.column("h"))])
-            n = np.concatenate([last_n, np.asarray(batch.column("n"))])
-            start = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-            h, n = h[start], np.add.reduceat(n, start) if len(start) else n
-            last_h, last_n = h[-1:], n[-1:]
-            yield out(h[:-1], n[:-1])
-        yield out(last_h, last_n)
+            packed = np.asarray(batch.column("n"))
+            columns = np.asarray(batch.column("h")), packed >> WITNESS, packed & ((1 << WITNESS) - 1)
+            h, n, seen = (np.concatenate(c) for c in zip(last, columns))
+            if not len(h):
+                continue
+            start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            held = h[start], np.add.reduceat(n, start), np.minimum.reduceat(seen, start)
+            last = [c[-1:] for c in held]
+            yield out(*(c[:-1] for c in held))
+        yield out(*last)
+
+    return together.mapInArrow(add_up, "h bigint, n bigint, seen bigint")
+
+
+def _pairs(h: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """A hash of each phrase with its witness."""
+    return mixed(h ^ mixed(seen.astype(np.uint64) + _NEXT))
+
+
+def _by_witness(frequent: DataFrame) -> np.ndarray:
+    """A map that marks MARKS bits for each phrase and its witness."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair = _pairs(np.asarray(batch.column("h")).view(np.uint64), np.asarray(batch.column("seen")))
+            marks = np.concatenate([_mark(pair, k) for k in range(MARKS)])
+            yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64))], ["h"])
+
+    return _bitmap(frequent.mapInArrow(run, "h bigint"))
+
+
+def _mark(pair: np.ndarray, k: int) -> np.ndarray:
+    return mixed(pair + np.uint64(k) * _NEXT)
 
-    return together.mapInArrow(add_up, "h bigint, n bigint")
 
+def _spelled(rows: DataFrame, longest: int, frequent: np.ndarray, named: np.ndarray) -> DataFrame:
+    """(h, lang, phrase, size, n): phrases that may be frequent, and with size 0 the words of a language.
 
-def _spelled(rows: DataFrame, longest: int, frequent: np.ndarray) -> DataFrame:
-    """(h, lang, phrase, size, n): phrases that may be frequent, once per task; and with size 0 the words of a language."""
+    Of the texts that hold a phrase those spell it that are its witness; a task spells it once.
+    """
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, totals = [np.zeros(0, np.uint64)] * (longest + 1), {}
         for batch in slices(batches, "text"):
             langs = batch.column("lang").to_pylist()
-            held = Slice(batch.column("text"), langs)
+            held, witness = Slice(batch.column("text"), langs), _witness(batch)
             for lang, n in zip(langs, np.diff(held.words.bounds).tolist()):
                 totals[lang] = totals.get(lang, 0) + n
             h = held.first
@@ -255,6 +301,10 @@ def _spelled(rows: DataFrame, longest: int, frequent: np.ndarray) -> DataFrame:
                     break
                 h = held.longer(h, size) if size > 1 else h
                 places = np.flatnonzero(_marked(frequent, h) & held.whole(size))
+                pair = _pairs(h[places], witness[held.text[places]])
+                for k in range(MARKS):
+                    mine = _marked(named, _mark(pair, k))
+                    places, pair = places[mine], pair[mine]
                 new, first = np.unique(h[places], return_index=True)
                 fresh = ~np.isin(new, seen[size], assume_unique=True)
                 new, places = new[fresh], places[first[fresh]]
@@ -292,7 +342,9 @@ def frequent_phrases(
     docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, min_count: int = MIN_COUNT
 ) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, size, n) of all phrases found often enough, (lang, total words))."""
-    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), text_of(text).alias("text"))
+    rows = docs.select(
+        F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), row_key(text).alias("row"), text_of(text).alias("text")
+    ).withColumn("row", F.coalesce("row", F.lit(0).cast("long")))
     counts, bits, every = None, None, np.zeros(MAP >> 3, np.uint8)
     for size in range(1, longest + 1):
         level = staged(_merged(_runs(rows, size, bits), min_count), f"phrases-{size}")
@@ -301,9 +353,9 @@ def frequent_phrases(
         every |= bits
         if not bits.any():
             break
-    spelled = staged(_spelled(rows, longest, every), "phrases")
+    spelled = staged(_spelled(rows, longest, every, _by_witness(counts)), "phrases")
     names = spelled.filter("size > 0").groupBy("h").agg(F.min(F.struct("lang", "phrase", "size")).alias("name"))
-    known = names.join(counts, "h").select("name.lang", "name.phrase", "name.size", "n")
+    known = names.join(counts.drop("seen"), "h").select("name.lang", "name.phrase", "name.size", "n")
     return staged(known, "frequent"), spelled.filter("size = 0").groupBy("lang").agg(F.sum("n").alias("total"))
 
 

@@ -274,12 +274,12 @@ def test_trie_bursts_and_spills(monkeypatch):
     for _ in range(20):
         route = np.unique(rng.integers(0, 1 << 24, 60) & 0x070703)
         h = (route.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        trie.add(h, np.ones(len(h), np.int64), route)
+        trie.add(h, np.ones(len(h), np.int64), route & 255, route)
         expected.update(h.tolist())
     assert any(isinstance(c, dict) for c in trie.root.values())
     out, held = Counter(), trie.held()
     for keep in (held // 2, 0):
-        for h, n in trie.spilled(keep):
+        for h, n, _ in trie.spilled(keep):
             assert (h[1:] > h[:-1]).all()
             out.update(dict(zip(h.tolist(), n.tolist())))
         assert trie.held() <= keep
