@@ -155,26 +155,16 @@ def _unpack(blob: bytes) -> tuple[list[np.ndarray], memoryview]:
 
 
 def _runs(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
-    """Word ranges gathered per row; touching ranges become one."""
+    """Word ranges in order of their row; touching ranges become one."""
     order = np.lexsort((starts, rows, ids))
     ids, rows, starts, ends = ids[order], rows[order], starts[order], (starts + lengths)[order]
     new = np.ones(len(ids), bool)
     new[1:] = (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1]) | (starts[1:] > ends[:-1])
     at = np.flatnonzero(new)
     ends = np.maximum.reduceat(ends, at) if len(at) else ends
-    ids, rows, starts = ids[at], rows[at], starts[at]
-    other = np.ones(len(ids), bool)
-    other[1:] = (ids[1:] != ids[:-1]) | (rows[1:] != rows[:-1])
-    first = np.flatnonzero(other)
-    offsets = pa.array(np.append(first, len(ids)).astype(np.int32))
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(ids[first]),
-            pa.array(rows[first]),
-            pa.ListArray.from_arrays(offsets, pa.array(starts.astype(np.int32))),
-            pa.ListArray.from_arrays(offsets, pa.array(ends.astype(np.int32))),
-        ],
-        ["id", "row", "starts", "ends"],
+        [pa.array(ids[at]), pa.array(rows[at]), pa.array(starts[at].astype(np.int32)), pa.array(ends.astype(np.int32))],
+        ["id", "row", "start", "end"],
     )
 
 
@@ -318,13 +308,14 @@ def _found(blobs: list[bytes]) -> pa.RecordBatch | None:
     )
 
 
-_SPANS = "id bigint, row bigint, starts array<int>, ends array<int>"
+_SPANS = "id bigint, row bigint, start int, end int"
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, row, starts, ends): ranges of words that an earlier document has, per row that has any.
+    """(id, row, start, end): ranges of words that an earlier document has.
 
-    Ranges of a row may overlap and are not in order.
+    A bucket returns one row per repeated stretch, so their number follows the
+    occurrences and not the buckets.  Ranges of a text may overlap and are not in order.
     """
     rows = docs.select(
         F.coalesce(F.col(key).cast("long"), F.lit(int(_NULL_ID))).alias("id"), row_key(text).alias("row"), text_of(text).alias("text")
@@ -356,9 +347,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             found = _found([p for p, s in zip(packed, settled) if not s])
             out += [] if found is None else [pa.Table.from_batches([found])]
         if not out:
-            none = pa.array([], pa.int64())
-            lists = pa.array([], pa.list_(pa.int32()))
-            return pa.table({"id": none, "row": none, "starts": lists, "ends": lists})
+            none, places = pa.array([], pa.int64()), pa.array([], pa.int32())
+            return pa.table({"id": none, "row": none, "start": places, "end": places})
         return pa.concat_tables(out)
 
     sent = rows.mapInArrow(send, "bucket int, settled boolean, packed binary")
@@ -380,7 +370,8 @@ def kept(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     spans = (
         repeated_spans(docs, key, text)
         .groupBy("id", "row")
-        .agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+        .agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        .select("id", "row", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
     )
     joined = rows.join(spans, (rows["id"] == spans["id"]) & rows["row"].eqNullSafe(spans["row"]), "left").select(
         "given", "text", "starts", "ends"
