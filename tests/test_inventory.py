@@ -132,6 +132,44 @@ def test_caps_and_pages(spark):
     assert [r["id"] for r in ranking.next_page(rows.select("id"), "id", 41, 3).collect()] == [42, 43, 44]
 
 
+def test_caps_of_uneven_groups(spark):
+    rows = spark.range(0, 20_000).select(
+        F.when(F.col("id") % 3 < 2, "hot").when(F.col("id") % 3 == 2, F.concat(F.lit("g"), F.col("id") % 501)).alias("g"),
+        F.when(F.col("id") % 1_000 == 2, None).otherwise((F.col("id") * 7919) % 1_000_003).alias("o"),
+        "id",
+        F.lit(0).alias("rows"),
+    ).withColumn("g", F.when(F.col("id") % 50 == 0, None).otherwise(F.col("g")))
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("g").orderBy("o", "id"))
+    for limit in (1, 7, 1_001, 12_000, 10**9):
+        want = rows.withColumn("p", place).where(F.col("p") <= limit).drop("p")
+        got = ranking.cap_per_group(rows, ["g"], ["o", "id"], limit)
+        assert got.columns == rows.columns
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    none = rows.limit(0)
+    assert ranking.cap_per_group(none, ["g"], ["id"], 3).count() == 0 and ranking.pages(none, "id", 3).count() == 0
+    same = spark.createDataFrame([(1, "a")] * 500, "k int, v string")
+    assert ranking.cap_per_group(same, ["k"], ["v"], 20).count() == 20
+    assert {r["p"] for r in ranking.ranked(same, ["k"], ["v"], "p").collect()} == set(range(500))
+
+
+def test_numbering_runs_no_job_and_sorts_ranges(spark):
+    from hushframe.operators.ranking import _in_ranges
+
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("numbering", "none")
+    rows = spark.range(0, 40_000).select(F.lit("hot").alias("g"), F.format_string("%08d", (F.col("id") * 7919) % 1_000_003).alias("o"))
+    ranking.ranked(rows, ["g"], ["o"], "p"), ranking.cap_per_group(rows, ["g"], ["o"], 5_000)
+    assert not tracker.getJobIdsForGroup("numbering")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    sizes = _in_ranges(rows, ["g", "o"], 16).groupBy(F.col("_range").alias("r")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("o").alias("low"), F.max("o").alias("high")
+    ).orderBy("r").collect()
+    assert len(sizes) >= 10 and max(r["n"] for r in sizes) < 3 * 40_000 / 16
+    assert all(a["high"] < b["low"] for a, b in zip(sizes, sizes[1:]))
+
+
 def test_manifests(spark, tmp_path):
     frame = spark.createDataFrame([("Flow", "B<1>"), ("Flow", "A&"), ("Layout", "L")], "type string, member string")
     blocks = inventory.manifest_blocks(batching.chunks(batching.assign_batches(frame)))
