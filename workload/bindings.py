@@ -131,51 +131,34 @@ ACCOUNT_FIELDS = [
 ]
 
 # name, type, label, length (-1: from the row), custom, calculated, formula, help
+#: A field for every word that a rule looks for, then fields that meet a rule by type, length, label or help, or none.
 _RECORD_FIELDS = [
-    ("Id", "id", "Account ID", 18, False, False, "", ""),
-    ("Name", "string", "Account", 255, False, False, "", ""),
-    ("OwnerId", "reference", "Owner ID", 18, False, False, "", ""),
-    ("Phone", "phone", "Phone", 40, False, False, "", ""),
-    ("Industry", "picklist", "Industry", 40, False, False, "", ""),
-    ("AnnualRevenue", "currency", "Annual Revenue", 0, False, False, "", ""),
-    ("Website_ID__c", "string", "Website ID", 50, True, False, "", ""),
-    ("Contact_Email__c", "email", "Contact Email", 80, True, False, "", ""),
-    ("Ethnicity__c", "picklist", "Ethnicity", 40, True, False, "", ""),
-    ("AccountId", "reference", "Account", 18, False, False, "", ""),
-    ("Jigsaw", "string", "Partner key", 20, False, False, "", ""),
-    ("FirstName", "string", "First", 40, False, False, "", ""),
-    ("MailingStreet", "textarea", "Mailing Street", 255, False, False, "", ""),
-    ("Birthdate", "date", "Birthdate", 0, False, False, "", ""),
-    ("PhotoUrl", "url", "Photo", 255, False, False, "", ""),
-    ("LinkedIn_Profile__c", "string", "Profile", 100, True, False, "", ""),
-    ("Personal_Email__c", "string", "Personal", 80, True, False, "", ""),
-    ("Membership_Number__c", "string", "Membership", 20, True, False, "", ""),
-    ("Passport_Number__c", "string", "Passport", 20, True, False, "", ""),
-    ("IsActive", "boolean", "Active", 0, False, False, "", ""),
-    ("CreatedDate", "datetime", "Created", 0, False, False, "", ""),
-    ("Comments__c", "textarea", "Remarks", -1, True, False, "", ""),
-    ("Member_Notes__c", "textarea", "Member", 2000, True, False, "", ""),
-    ("Quick_Note__c", "string", "Quick", 80, True, False, "", ""),
-    ("Contact_Text__c", "string", "Text", 200, True, True, "Contact.FirstName & Contact.LastName", ""),
-    ("Total__c", "currency", "Total", 0, True, True, "Amount__c * 2", ""),
-    ("HasOptedOutOfEmail", "boolean", "Opt Out", 0, False, False, "", ""),
-    ("EmailBouncedDate", "datetime", "Bounced", 0, False, False, "", ""),
-    ("Contact_Point__c", "email", "Contact Point", 80, True, False, "", ""),
-    ("Primary_Address_Lookup__c", "reference", "Lookup", 18, True, False, "", ""),
-    ("X1__c", "string", "Mobile Phone", 40, True, False, "", ""),
-    ("X2__c", "string", "Login", 40, True, False, "", "the email for login"),
-    ("Trace_Flag__c", "boolean", "Trace", 0, True, False, "", ""),
-    ("Capacity__c", "double", "Capacity", 0, True, False, "", ""),
-    ("Tax_Id__c", "string", "Tax", 20, True, False, "", ""),
-    ("Bio__c", "string", "About", -1, True, False, "", ""),
-    ("Reason__c", "string", "Why", -1, True, False, "", ""),
-    ("Stage", "picklist", "Stage", 40, False, False, "", ""),
-    ("Religion__c", "picklist", "Religion", 40, True, False, "", ""),
-    ("Region__c", "string", "Region", 40, True, False, "", ""),
+    *[(word, "string", "Sync", 20, False, False, "", "") for word in rules.PARTNER_ID_NAMES],
+    *[(f"Survey_{word}__c", "picklist", "Survey", 40, True, False, "", "") for word in rules.SPECIAL_CATEGORY],
+    *[(f"Guest_{word}__c", "string", "Guest", 80, True, False, "", "") for word in rules.DIRECT_PII],
+    *[(f"Usher_{word}__c", "textarea", "Usher", -1, True, False, "", "") for word in rules.ESSAY_NAMES],
+    *[(f"Ticket_{word}__c", "string", "Ticket", 30, True, False, "", "") for word in rules.IDENTIFIERS],
+    *[(f"Copied_{i}__c", "string", "Copied", 90, True, True, f"Booking__r.{name} & ' '", "") for i, name in enumerate(rules.FORMULA_SOURCES)],
+    ("Id", "id", "Row key", 18, False, False, "", ""),
+    ("Name", "string", "Shown as", 255, False, False, "", ""),
+    ("Theatre__c", "reference", "Theatre", 18, True, False, "", ""),
+    ("Street_Map__c", "reference", "Map", 18, True, False, "", ""),
+    ("Box_Office_Mail__c", "email", "Box office", 80, True, False, "", ""),
+    ("Newsletter_Email__c", "email", "Newsletter", 80, True, False, "", ""),
+    ("Reply_To__c", "string", "Reply", 80, True, False, "", "an email of the box office"),
+    ("Email_Weekly__c", "boolean", "Weekly", 0, True, False, "", ""),
+    ("Programme_Text__c", "textarea", "Programme", 40_000, True, False, "", ""),
+    ("Row_And_Seat__c", "string", "Seat", 10, True, False, "", ""),
+    ("Interval_Drinks__c", "double", "Drinks", 0, True, False, "", ""),
+    ("Gross__c", "currency", "Gross", 0, True, True, "Seats__c * Price__c", ""),
+    ("Opens_On__c", "datetime", "Opens", 0, True, False, "", ""),
+    ("Genre__c", "picklist", "Genre", 40, True, False, "", ""),
+    ("Reach__c", "string", "Mobile of the stage door", 40, True, False, "", ""),
+    ("Sold_Out__c", "boolean", "Sold out", 0, True, False, "", ""),
 ]
 N_RECORD_FIELDS = len(_RECORD_FIELDS)
 
-#: Describe rows of business objects, 40 fields to an object.
+#: Describe rows of business objects, all fields to an object.
 FIELDS = f"""
 SELECT 'Obj' || {_text(_whole('p.p_partkey', N_RECORD_FIELDS))} AS object,
   CAST(v.pos AS INT) AS position, v.name AS name, v.label || ' ' || p.p_name AS label, v.type AS type,
