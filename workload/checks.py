@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hushframe import rules
-from hushframe.operators import gates, inventory, resolve
+from hushframe.operators import gates, inventory, resolve, secrets
 from hushframe.operators.mask import mask
 from hushframe.plans import eventlogs
 from workload import bindings as b
@@ -43,6 +43,55 @@ def _(spark, sf_dir):
     return found.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
+_HEX = "'0123456789abcdef'"
+_HASHED = "md5(CAST({k} AS STRING))"
+_DENSE = f"translate({_HASHED}, {_HEX}, 'aB3dE6gH9jK2mN5p') || translate(md5(CAST({{k}} + 1 AS STRING)), {_HEX}, 'qR8sT1uV4wX7yZ0c')"
+
+
+def _key_text(k: str) -> str:
+    """A key of a shape that depends on the row, or none, or something that only looks like one."""
+    hashed, dense = _HASHED.format(k=k), _DENSE.format(k=k)
+    return f"""CASE {k} % 13 WHEN 0 THEN 'AKIA' || upper(substr({hashed}, 1, 16)) WHEN 1 THEN 'ghp_' || {hashed} || 'Ab12'
+ WHEN 2 THEN 'eyJ' || {hashed} || '.' || {hashed} || '.' || {hashed} WHEN 3 THEN 'ftp://robot:' || {hashed} || '@host'
+ WHEN 4 THEN '-----BEGIN RSA PRIVATE KEY-----' WHEN 5 THEN 'xoxb-' || {hashed} WHEN 6 THEN 'sk_live_' || {hashed}
+ WHEN 7 THEN 'AIza' || {hashed} || 'xyz' WHEN 8 THEN 'API_KEY: "' || {hashed} || '"' WHEN 9 THEN {dense}
+ WHEN 10 THEN 'password = "aaaaaaa1"' WHEN 11 THEN 'digest ' || {hashed} ELSE 'secret = "nothing-here"' END"""
+
+
+KEYED_DOCUMENTS = f"SELECT doc_id, text || ' ' || {_key_text('doc_id')} AS body FROM $documents"
+KEYED_PATHS = f"""SELECT 'customMetadata/' || CAST(p_size AS STRING) || '/' || CASE WHEN p_partkey % 13 IN (3, 4, 8, 10, 12) THEN p_name ELSE {_key_text('p_partkey')} END
+ || '.' || CAST(p_partkey AS STRING) AS path FROM $part"""
+
+
+def _secrets(key: str, column: str, source: str) -> str:
+    shapes = [
+        f"SELECT {key}, '{name}' AS category, unnest(regexp_extract_all({column}, '{pattern}')) AS hit FROM {source}"
+        for name, (_, pattern) in rules.SECRET_SHAPES.items()
+    ]
+    assignment = rules.SECRET_ASSIGNMENT.replace("'", "''")
+    bits = "list_aggregate(string_split(hit, ''), 'entropy')"
+    valued = f"""SELECT {key}, 'assigned secret' AS category, hit FROM (SELECT {key}, unnest(regexp_extract_all({column}, '{assignment}', 1)) AS hit FROM {source}) v
+ WHERE regexp_matches(hit, '[0-9]') AND {bits} >= {rules.SECRET_VALUE_BITS}"""
+    dense = f"""SELECT {key}, 'dense run' AS category, hit FROM (SELECT {key}, unnest(regexp_extract_all({column}, '{rules.SECRET_RUN}')) AS hit FROM {source}) d
+ WHERE regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]') AND {bits} >= {rules.SECRET_RUN_BITS}"""
+    return f"SELECT {key}, category, sha256(hit) AS detail FROM ({' UNION ALL '.join([*shapes, valued, dense])}) f"
+
+
+@query("g1_secret_scan", with_(k=KEYED_DOCUMENTS) + _secrets("doc_id", "body", "k"))
+def _(spark, sf_dir):
+    return secrets.secret_findings(bind(spark, sf_dir, KEYED_DOCUMENTS), "doc_id", "body")
+
+
+@query(
+    "g1_name_shapes",
+    with_(k=KEYED_PATHS, c="SELECT path, regexp_replace(unnest(string_split(path, '/')), '\\.[0-9A-Za-z]{1,5}$', '') AS name FROM k")
+    + _secrets("path", "name", "c"),
+)
+def _(spark, sf_dir):
+    stages = [secrets.name_stage("path")]
+    return gates.run_stages(bind(spark, sf_dir, KEYED_PATHS), stages).select("path", "category", "detail")
+
+
 @query(
     "g2_raw_ip_rows",
     f"SELECT doc_id FROM $documents WHERE regexp_matches(text, '{_P['ip']}')",
