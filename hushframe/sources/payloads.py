@@ -178,10 +178,9 @@ _REPORT_HEAD = (
     "runDir string, violationCounts struct<total:bigint,sev1:bigint,sev2:bigint,sev3:bigint,sev4:bigint,sev5:bigint>, "
     "versions map<string,string>"
 )
-_REPORT_FINDINGS = (
-    "violations array<struct<rule:string,engine:string,severity:int,tags:array<string>,"
-    "primaryLocationIndex:int,locations:array<struct<file:string,startLine:int,startColumn:int,endLine:int,"
-    "endColumn:int,comment:string>>,message:string,resources:array<string>>>"
+_FINDING = (
+    "struct<rule:string,engine:string,severity:int,tags:array<string>,"
+    "primaryLocationIndex:int,locations:array<struct<file:string,startLine:int>>,message:string>"
 )
 
 
@@ -199,21 +198,27 @@ def primary_location() -> Column:
     return F.get(F.col("v.locations"), F.coalesce("v.primaryLocationIndex", F.lit(0)))
 
 
+def violation_of(text: Column) -> Column:
+    """One finding of a report from its JSON text."""
+    return F.from_json(text, _FINDING)
+
+
 def read_violations(bodies: DataFrame) -> DataFrame:
     """One row per finding with its primary location."""
     keys = [c for c in bodies.columns if c != "body"]
-    return (
-        bodies.select(*keys, F.explode_outer(F.from_json("body", _REPORT_FINDINGS)["violations"]).alias("v"))
-        .where(F.col("v").isNotNull())
-        .withColumn("at", primary_location())
-        .select(
-            *keys,
-            "v.rule",
-            "v.engine",
-            "v.severity",
-            "v.tags",
-            F.col("at.file").alias("file"),
-            F.col("at.startLine").alias("line"),
-            "v.message",
-        )
+    parsed = F.from_json("body", f"violations array<{_FINDING}>")["violations"]
+    return violation_columns(bodies.select(*keys, F.explode_outer(parsed).alias("v")).where(F.col("v").isNotNull()), keys)
+
+
+def violation_columns(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """The shown columns of findings ``v``."""
+    return findings.withColumn("at", primary_location()).select(
+        *keys,
+        "v.rule",
+        "v.engine",
+        "v.severity",
+        "v.tags",
+        F.col("at.file").alias("file"),
+        F.col("at.startLine").alias("line"),
+        "v.message",
     )

@@ -169,3 +169,48 @@ def test_badly_formed_rows_stay_alone(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b'A,B\nx"y,"z\n1,2\n5" pipe,3" pipe\nc\rd,e\n')
     rows = sorted(map(tuple, read_bodies(spark, str(tmp_path)).collect()))
     assert rows == [("1", "2"), ('5" pipe', '3" pipe'), ("c d", "e"), ('x"y', "z")]
+
+
+def test_one_report_is_split_over_several_tasks(spark, tmp_path):
+    import json
+    import random
+
+    from hushframe.sources import reports
+
+    chance = random.Random(7)
+    bits = ["}", "{", "]", "[", '"', "\\", "violations", '"violations": [{', "é", "\n", "x" * 300, ","]
+
+    def finding(n):
+        text = "".join(chance.choice(bits) for _ in range(chance.randrange(9)))
+        return {
+            "rule": f"r{n}", "tags": [text, "}"], "severity": n % 5, "message": text, "primaryLocationIndex": n % 2,
+            "locations": [{"file": text, "startLine": n}, {"file": "b", "startLine": -n}],
+            "resources": [{"violations": [{"rule": "inner"}]}] if n % 3 == 0 else [],
+        }
+
+    many = [finding(n) for n in range(700)]
+    (tmp_path / "many.json").write_text(
+        json.dumps({"runDir": '"violations": [{', "violations": many, "after": [{"rule": "no"}], "deep": {"violations": [{"rule": "no"}]}}, ensure_ascii=False)
+    )
+    (tmp_path / "long.json").write_text(json.dumps({"violations": [{"rule": "long", "message": "}{" * 9000}], "tools": [[1], {}]}, indent=1))
+    (tmp_path / "none.json").write_text('{"violations": [], "x": [{"rule": "no"}]}')
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "list.json").write_text('[{"rule": "no"}]')
+    (tmp_path / "cut.json").write_text('{"violations": [{"rule": "whole"}, {"rule": "par')
+    want = sorted(
+        [(f["rule"], f["message"], f["locations"][f["primaryLocationIndex"]]["startLine"]) for f in many]
+        + [("long", "}{" * 9000, None), ("whole", None, None)],
+        key=str,
+    )
+    old = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("128m", "5000b", "300b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "4m" if size == "128m" else "0b")
+            if size != "128m":
+                assert reports.file_states(reports._pieces(spark, str(tmp_path / "many.json"))).count() > 20
+            got = [(r["rule"], r["message"], r["line"]) for r in reports.read_report_files(spark, str(tmp_path)).collect()]
+            assert sorted(got, key=str) == want
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)

@@ -18,6 +18,7 @@ from hushframe.sources.catalogue import catalogue
 from hushframe.sources.eventlog import columns_by_type, field_names, read_bodies
 from hushframe.sources.manifest import parse_manifests, read_manifests
 from hushframe.sources.planfile import load_records_plan
+from hushframe.sources.reports import read_report_files
 from workload import bindings as b
 from workload.base import bind, query, sql_list, table, with_
 from workload.values import WS, email_sql, id_sql, ip_sql, strip_sql
@@ -368,6 +369,41 @@ def _(spark, sf_dir):
     return found.withColumn("tags", F.array_join("tags", ","))
 
 
+_REPORTED = "SELECT CAST(floor(l_orderkey / 20000) AS BIGINT) AS report, * FROM v"
+
+
+def report_files(spark, sf_dir):
+    """Folder with one large document per 20,000 orders; every finding holds braces in strings and a nested array."""
+    path = staged_path(spark, "reports")
+    place = lambda file: F.struct(file.alias("file"), F.col("line").alias("startLine"))
+    finding = F.struct(
+        "rule", "engine", "severity", F.split("tag_list", ",").alias("tags"), F.lit(0).alias("primaryLocationIndex"),
+        F.array(place(F.col("file")), place(F.lit("}],{"))).alias("locations"),
+        F.concat(F.lit('\\ "violations": [{'), F.col("rule"), F.lit('}] "')).alias("message"),
+        F.array(F.struct(F.array(F.struct(F.lit("x").alias("rule"))).alias("violations"))).alias("resources"),
+    )
+    rows = bind(spark, sf_dir, with_(v=b.VIOLATIONS) + _REPORTED)
+    told = rows.select("report", F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.concat(F.to_json(finding), F.lit(",")).alias("value"))
+    ends = rows.select("report").distinct().select("report", F.explode(F.array(
+        F.struct(F.lit(-1).cast("long").alias("k"), F.lit('{"runDir": "/violations", "tools": [{"rule": "none"}], "violations": [').alias("value")),
+        F.struct(F.lit(2**62).alias("k"), F.lit('{"rule": "last"}], "versions": {"pmd": "1"}, "other": [{"rule": "none"}]}').alias("value")),
+    )).alias("e")).select("report", "e.k", F.lit(0).alias("n"), "e.value")
+    lines = told.union(ends).repartition("report").sortWithinPartitions("report", "k", "n")
+    lines.select("report", "value").write.partitionBy("report").text(path)
+    return path
+
+
+@query(
+    "s12_report_files",
+    with_(v=b.VIOLATIONS, r=_REPORTED)
+    + """SELECT CAST(report AS STRING) AS report, rule, engine, severity, tag_list AS tags, file, line, '\\ "violations": [{' || rule || '}] "' AS message FROM r
+ UNION ALL SELECT DISTINCT CAST(report AS STRING), 'last', NULL, CAST(NULL AS INTEGER), NULL, NULL, CAST(NULL AS INTEGER), NULL FROM r""",
+)
+def _(spark, sf_dir):
+    found = read_report_files(spark, report_files(spark, sf_dir))
+    return found.withColumns({"report": F.regexp_extract("report", "report=([0-9]+)", 1), "tags": F.array_join("tags", ",")})
+
+
 @query(
     "s12_report_counts",
     with_(v=b.VIOLATIONS)
