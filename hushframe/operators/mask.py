@@ -12,10 +12,6 @@ from hushframe import rules
 from hushframe.functions.masking import apply_action, derive_recipe_of
 from hushframe.functions.text import as_text
 
-#: More fields than any object's schema has; the action table of one object is
-#: read on the driver to build its projection.
-MAX_FIELDS = 20_000
-
 
 @dataclass(frozen=True)
 class ColumnAction:
@@ -55,9 +51,10 @@ class ClassifiedFrame:
 def read_actions_by_object(resolved: DataFrame, objects: list[str]) -> dict[str, list[ColumnAction]]:
     """Action rows (object, field, action, ...) of some objects, in one job.
 
-    Rows come in ``position`` order if there is one.
+    Rows come in ``position`` order if there is one.  They are one per column of
+    tables whose schemas the driver holds anyway, to build their projections.
     """
-    rows = _bounded(resolved.where(F.col("object").isin(objects)), MAX_FIELDS * max(len(objects), 1))
+    rows = _in_order(resolved.where(F.col("object").isin(objects)))
     out: dict[str, list[ColumnAction]] = {name: [] for name in objects}
     for row in rows:
         out[row["object"]].append(_action(row, "field"))
@@ -66,15 +63,11 @@ def read_actions_by_object(resolved: DataFrame, objects: list[str]) -> dict[str,
 
 def read_actions(resolved: DataFrame, name: str = "column") -> list[ColumnAction]:
     """Action rows of one header."""
-    return [_action(row, name) for row in _bounded(resolved, MAX_FIELDS)]
+    return [_action(row, name) for row in _in_order(resolved)]
 
 
-def _bounded(resolved: DataFrame, bound: int) -> list[Row]:
-    ordered = resolved.orderBy("position") if "position" in resolved.columns else resolved
-    rows = ordered.limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError("more fields than tables can have; name the objects to read")
-    return rows
+def _in_order(resolved: DataFrame) -> list[Row]:
+    return (resolved.orderBy("position") if "position" in resolved.columns else resolved).collect()
 
 
 def _action(row: Row, name: str) -> ColumnAction:

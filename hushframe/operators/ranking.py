@@ -57,9 +57,10 @@ def _placed(df: DataFrame, group: list[str], order: list[str], slices: int | Non
     for name in keys:
         same &= F.col(f"rows.`{name}`").eqNullSafe(F.col(f"shifts.`{name}`"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    joined = rows.join(shifts, same).select("rows.*", "_shift")
-    placed = joined.withColumn("_position", F.col("_shift") + place - 1).drop("_range", "_shift")
-    return placed if limit is None else placed.where(F.col("_position") < limit)
+    placed = rows.join(shifts, same).select("rows.*", "_shift").withColumn("_place", place)
+    if limit is not None:  # implied by the position, and small enough limits are applied before the shuffle
+        placed = placed.where(F.col("_place") <= limit).where(F.col("_shift") + F.col("_place") <= limit)
+    return placed.withColumn("_position", F.col("_shift") + F.col("_place") - 1).drop("_range", "_shift", "_place")
 
 
 def ranked(df: DataFrame, group: list[str], order: list[str], position: str, slices: int | None = None) -> DataFrame:
