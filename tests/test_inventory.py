@@ -188,3 +188,24 @@ def test_manifests(spark, tmp_path):
 def test_rename_map(spark):
     frame = spark.createDataFrame([("a<b.txt",), ("ok/x.cls",), ("../evil",), ("/lead/ok",)], "path string")
     assert [tuple(r) for r in inventory.rename_map(frame).collect()] == [("a<b.txt", "a_b.txt")]
+
+
+def test_batches_of_very_many_types(spark):
+    """10^5 types, most of one member, two heavy: blocks composed, equal to the sequential rule."""
+    limits = (400, 1200)
+    by_type = {f"T{i:06d}": {f"m{j:05d}" for j in range(i % 59 if i % 50 == 1 else 1)} for i in range(100_000)}
+    by_type = {n: ms for n, ms in by_type.items() if ms}
+    by_type["ExperienceBundle"] = {f"m{j:05d}" for j in range(3_000)}
+    by_type["T050000x"] = {f"m{j:05d}" for j in range(40_000)}
+    sizes = spark.createDataFrame([(n, len(ms)) for n, ms in by_type.items()], "type string, n int")
+    frame = sizes.select("type", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.format_string("m%05d", j))).alias("member"))
+    got = batching.assign_batches(frame, *limits).toPandas()
+    wanted = sequential(by_type, *limits)
+    assert dict(zip(zip(got["type"], got["member"]), got["batch"])) == wanted and len(got) == len(wanted)
+
+
+def test_batches_without_rows_and_without_types(spark):
+    schema = "type string, member string"
+    assert batching.assign_batches(spark.createDataFrame([], schema)).count() == 0
+    rows = spark.createDataFrame([(None, "a"), ("T", None), ("T", "a")], schema)
+    assert {tuple(r) for r in batching.assign_batches(rows, 1, 1).select("batch", "member").collect()} == {(1, None), (2, "a")}
