@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushframe import rules
 from hushframe.functions.dates import first_open_day, in_window, last_complete_day, window_end
 
+#: Runs of finished days that go into a scan's filter; the anti join removes all others.
+PUSHED_RANGES = 8
+
 
 def completed(ledger: DataFrame) -> DataFrame:
     """Finished windows of a ledger (name, sentinel) with their end date.
@@ -64,14 +67,37 @@ def header_scan(
     return found.where(F.col(event_type).isin(*only)) if only else found
 
 
-def unfinished(files: DataFrame, ledger: DataFrame, day: str = "log_date") -> DataFrame:
-    """Files outside every completed window: repeats of a run do nothing."""
-    done = completed(ledger).select(
-        F.explode(
-            F.sequence(F.try_to_date(F.split("name", "_to_")[0], "yyyy-MM-dd"), F.col("end"))
-        ).alias(day)
-    ).distinct()
-    return files.join(done, day, "left_anti")
+def finished_days(ledger: DataFrame, day: str = "day") -> DataFrame:
+    """Distinct days of the completed windows; the calendar bounds them."""
+    start = F.try_to_date(F.split("name", "_to_")[0], "yyyy-MM-dd")
+    windows = completed(ledger).where(start <= F.col("end"))
+    return windows.select(F.explode(F.sequence(start, F.col("end"))).alias(day)).distinct()
+
+
+def finished_ranges(days: DataFrame, day: str = "day", most: int = PUSHED_RANGES) -> list[tuple[dt.date, dt.date]]:
+    """The longest runs of successive days, at most ``most``, in order."""
+    place = F.row_number().over(Window.orderBy(day))  # one row per day of the calendar
+    runs = days.withColumn("run", F.date_sub(F.col(day), place)).groupBy("run").agg(F.min(day).alias("first"), F.max(day).alias("last"))
+    longest = runs.orderBy(F.datediff("last", "first").desc(), "first").limit(most)
+    return sorted((r["first"], r["last"]) for r in longest.collect())
+
+
+def unfinished(files: DataFrame, ledger: DataFrame, day: str = "log_date", time: str | None = None) -> DataFrame:
+    """Files outside every completed window: repeats of a run do nothing.
+
+    Runs of finished days are literals in the filter, so the scan leaves them out;
+    ``time`` names the timestamp that ``day`` was made from, if the scan does not hold
+    the day itself.  The anti join removes what these ranges leave.  Files without a
+    day belong to no window and stay.
+    """
+    done = finished_days(ledger, day)
+    scanned = files
+    column = F.col(time or day)
+    for first, last in finished_ranges(done, day):
+        kind = files.schema[time or day].dataType
+        begin, after = (F.lit(f"{d:%Y-%m-%d}").cast(kind) for d in (first, last + dt.timedelta(days=1)))
+        scanned = scanned.where(column.isNull() | (column < begin) | (column >= after))
+    return scanned.join(F.broadcast(done), day, "left_anti")  # bounded: one row per day of the calendar
 
 
 def late_rows(rows: DataFrame, closed_through: dt.date, ts: str = "ts") -> DataFrame:

@@ -9,7 +9,6 @@ from hushframe import rules
 from hushframe.functions.paths import escapes_root, safe_path
 from hushframe.functions.text import skip_detail
 from hushframe.operators.classify import skip_bucket
-from hushframe.session import broadcast_if_small
 
 
 def allowed(components: DataFrame) -> DataFrame:
@@ -57,18 +56,18 @@ def enumerate_components(described: DataFrame, listing: DataFrame) -> DataFrame:
     """Distinct (type, member) of everything that could be listed.
 
     ``listing`` has type, folder, member, error; a folder is a component itself.
+    One pass over the listing meets the pairs (type, folder) that are wanted, which
+    takes the folders' own rows out of it; no job runs while the frame is built.
     """
-    open_types = _open_folder_types()
+    folder_types = list(_open_folder_types().values())
+    whole = F.lit(None).cast("string")
+    probed = listing.sparkSession.createDataFrame([(t,) for t in folder_types], "type string")
+    wanted = candidate_types(described).union(probed).distinct().select("type", whole.alias("folder")).union(folders(listing))
+    place = F.when(~F.col("type").isin(*folder_types), F.col("folder"))  # where folders lie does not matter
     readable = listing.where(F.col("error").isNull() & F.col("member").isNotNull())
-    plain = readable.where(F.col("folder").isNull()).join(
-        broadcast_if_small(candidate_types(described)), "type", "left_semi"
-    )
-    inner = readable.where(F.col("type").isin(*open_types)).join(
-        broadcast_if_small(folders(listing)), ["type", "folder"], "left_semi"
-    )
-    folder_items = readable.where(F.col("type").isin(*open_types.values()))
-    parts = [frame.select("type", "member") for frame in (plain, inner, folder_items)]
-    return parts[0].union(parts[1]).union(parts[2]).distinct()
+    rows, keys = readable.select("type", "member", place.alias("folder")).alias("rows"), wanted.alias("keys")
+    same = (F.col("rows.type") == F.col("keys.type")) & F.col("rows.folder").eqNullSafe(F.col("keys.folder"))
+    return rows.join(keys, same, "left_semi").select("type", "member").distinct()
 
 
 def listing_skips(described: DataFrame, listing: DataFrame) -> DataFrame:
@@ -76,13 +75,13 @@ def listing_skips(described: DataFrame, listing: DataFrame) -> DataFrame:
     open_types = _open_folder_types()
     failed = listing.where(F.col("error").isNotNull())
     inner_of = F.create_map(*[F.lit(x) for inner, folder in open_types.items() for x in (folder, inner)])
-    tried = failed.where(F.col("folder").isNull()).join(
-        broadcast_if_small(candidate_types(described)), "type", "left_semi"
-    )
-    foldered = failed.where(F.col("type").isin(*open_types, *open_types.values())).withColumn(
-        "type", F.coalesce(inner_of[F.col("type")], F.col("type"))
+    known = candidate_types(described).withColumn("_known", F.lit(True))
+    tried = F.when(F.col("_known") & F.col("folder").isNull(), F.col("type"))
+    foldered = F.when(
+        F.col("type").isin(*open_types, *open_types.values()), F.coalesce(inner_of[F.col("type")], F.col("type"))
     )
-    both = tried.select("type", "error").union(foldered.select("type", "error"))
+    reported = F.explode(F.array_compact(F.array(tried, foldered))).alias("type")
+    both = failed.join(known, "type", "left").select(reported, "error")
     return both.select(
         "type",
         skip_bucket(F.col("error")).alias("bucket"),

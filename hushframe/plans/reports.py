@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.operators.audit import json_document
+from hushframe.sinks.publish import publish
+from hushframe.sources.payloads import require_score
+
+HEALTH = "security_health_check"
 
 #: A health check evaluates a fixed catalogue of settings (30 to 60).
 _RISK = ("RiskType", "Setting", "SettingGroup", "OrgValue", "StandardValue")
@@ -27,6 +31,12 @@ def health_documents(scores: DataFrame, risks: DataFrame, key: str = "org") -> D
     )
 
 
+def export_health(spark: SparkSession, target: str, scores: DataFrame, risks: DataFrame, key: str = "org") -> str:
+    """Publish the documents; an organisation without a score row stops the run before anything is written."""
+    require_score(scores)
+    return publish(spark, target, {HEALTH: health_documents(scores, risks, key)}, HEALTH)
+
+
 def analysis_documents(reports: DataFrame, key: str = "org") -> DataFrame:
     """Summary document per report: counts, engine versions, output names."""
     stem = F.concat(F.lit("code_analyser_results_"), F.col(key))

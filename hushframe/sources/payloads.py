@@ -170,7 +170,8 @@ def read_health_risks(bodies: DataFrame, chain: str = "org", page: str = "page")
 
 def require_score(scores: DataFrame) -> None:
     """At least one organisation, each with a score."""
-    if scores.where(F.col("Score").isNull()).limit(1).count():
+    found = scores.agg(F.count(F.lit(1)).alias("rows"), F.count("Score").alias("scored")).first()
+    if found["rows"] == 0 or found["scored"] < found["rows"]:
         raise RuntimeError("health check returned no score row")
 
 

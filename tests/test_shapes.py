@@ -25,6 +25,11 @@ def test_window_is_pushed_to_the_scan(spark):
     assert re.search(r"ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>", plan)
 
 
+def test_finished_days_are_pushed_to_the_scan(spark):
+    plan = plan_of(entry.queries()["f14_unfinished_files"](spark, SMALL))
+    assert re.search(r"PushedFilters: \[.*LessThan\(ts.*GreaterThanOrEqual\(ts", plan)
+
+
 def test_dropped_columns_are_not_read(spark):
     plan = plan_of(entry.queries()["f1_record_projection"](spark, SMALL))
     assert re.search(r"ReadSchema: struct<c_custkey:bigint,c_nationkey:int,c_acctbal:double,c_mktsegment:string>", plan)

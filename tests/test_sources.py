@@ -7,7 +7,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from hushframe.operators.incremental import completed, open_window, split_bad, window_plan
+from hushframe.operators.incremental import (
+    completed, finished_days, finished_ranges, open_window, split_bad, unfinished, window_plan,
+)
 from hushframe.plans import eventlogs
 from hushframe.sources import eventlog, payloads
 from hushframe.sources.eventlog import columns_by_type, read_bodies
@@ -56,8 +58,10 @@ def test_limits_and_counts(spark):
 def test_health_scores(spark):
     scores = payloads.read_health_scores(bodies(spark, {"records": [{"attributes": {}, "Id": "x", "Score": "87"}]}, {"records": []}))
     assert sorted((r["n"], r["Score"]) for r in scores.collect()) == [(0, 87), (1, None)]
-    with pytest.raises(RuntimeError):
-        payloads.require_score(scores)
+    payloads.require_score(scores.where("Score IS NOT NULL"))
+    for none in (scores, scores.limit(0)):
+        with pytest.raises(RuntimeError):
+            payloads.require_score(none)
 
 
 def test_reports(spark):
@@ -117,6 +121,25 @@ def test_windows(spark):
     assert window_plan(some, today).first()["start"] == dt.date(2026, 6, 6)
 
 
+def test_finished_days_leave_the_scan_and_nothing_else_does(spark):
+    first = dt.date(2026, 1, 1)
+    day = lambda i: first + dt.timedelta(days=i)
+    names = [(f"{day(2 * i)}_to_{day(2 * i)}", True) for i in range(20)]  # more runs than are pushed
+    names += [("2026-03-01_to_2026-03-09", True), ("2026-03-10_to_2026-03-12", True), ("2026-04-01_to_2026-04-09", False),
+              ("2026-05-09_to_2026-05-01", True), ("odd", True)]
+    ledger = spark.createDataFrame(names, "name string, sentinel boolean")
+    days = finished_days(ledger)
+    assert days.count() == 32
+    assert finished_ranges(days, most=2) == [(first, first), (dt.date(2026, 3, 1), dt.date(2026, 3, 12))]
+    times = [None, *[dt.datetime(2026, 1, 1, 23, 59, 59) + dt.timedelta(days=i) for i in range(150)]]
+    files = spark.createDataFrame([(t,) for t in times], "ts timestamp_ntz").withColumn("log_date", F.to_date("ts"))
+    done = {r["day"] for r in days.collect()}
+    for time in ("ts", None):
+        got = {r["ts"] for r in unfinished(files, ledger, time=time).collect()}
+        assert got == {t for t in times if t is None or t.date() not in done}
+    assert unfinished(files, ledger.limit(0)).count() == len(times)
+
+
 def test_bad_files_are_set_aside(spark):
     rows = [(1, "A, B", '"A","B"\n1,2'), (2, "A,B", None), (3, "A,B", "<html>"), (4, "A,B", "A,B")]
     good, bad = split_bad(spark.createDataFrame(rows, "id int, names string, body string"))

@@ -208,8 +208,8 @@ def _(spark, sf_dir):
     + "SELECT event_id, CAST(ts AS DATE) AS log_date FROM $events WHERE CAST(ts AS DATE) NOT IN (SELECT d FROM done)",
 )
 def _(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("log_date"))
-    return unfinished(rows, bind(spark, sf_dir, b.LEDGER)).select("event_id", "log_date")
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", F.to_date("ts").alias("log_date"))
+    return unfinished(rows, bind(spark, sf_dir, b.LEDGER), time="ts").select("event_id", "log_date")
 
 
 @query("f15_geo_columns", GEO.replace("50.0 + n_nationkey AS Latitude, n_nationkey - 0.5 AS Longitude,", "").replace("'City ' || n_name AS City, 'P' || CAST(n_nationkey AS STRING) AS PostalCode,", ""))

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from hushframe.operators import incremental
 from hushframe.operators.gates import GateError
 from hushframe.operators.resolve import union_all
-from hushframe.plans import eventlogs, records, technical
+from hushframe.plans import eventlogs, records, reports, technical
 from hushframe.session import staged_path
 from hushframe.sinks import publish as publishing
+from hushframe.sources import payloads
 from hushframe.sources.planfile import Plan
 from workload import bindings as b
 from workload.base import bind, query, table, with_
-from workload.landing import account_fields
+from workload.landing import SCORES, account_fields, risk_pages, score_bodies
 from workload.narrowing import EVENT_MASKED, event_rows, geo, logins, technical_fields
 from workload.summaries import LANDED, landed
 
@@ -158,3 +159,28 @@ def _(spark, sf_dir):
             for rows, name, no in out
         ]
     )
+
+
+@query(
+    "s11_unscored_run",
+    with_(s=SCORES, r=b.RISKS)
+    + """SELECT s.org, s.Score AS score, count(*) AS risk_count, true AS refused
+ FROM s JOIN r ON r.org = s.org GROUP BY s.org, s.Score""",
+)
+def _(spark, sf_dir):
+    """A run whose check shows no score for one organisation leaves the documents of the run before."""
+    target = staged_path(spark, "health")
+    answers, risks = score_bodies(spark, sf_dir), payloads.read_health_risks(risk_pages(spark, sf_dir))
+    reports.export_health(spark, target, payloads.read_health_scores(answers), risks)
+    least = answers.agg(F.min("org")).scalar()
+    empty = F.when(F.col("org") == least, F.lit('{"records": []}')).otherwise(F.col("body"))
+    refused = False
+    try:
+        reports.export_health(spark, target, payloads.read_health_scores(answers.withColumn("body", empty)), risks)
+    except RuntimeError as error:
+        refused = "score" in str(error)
+    kept = publishing.read_published(spark, target, reports.HEALTH)
+    shape = "SecurityHealthCheck struct<Score:int>, risk_count bigint"
+    return kept.select("org", F.from_json("document", shape).alias("d")).select(
+        "org", F.col("d.SecurityHealthCheck.Score").alias("score"), "d.risk_count", F.lit(refused).alias("refused")
+    )
