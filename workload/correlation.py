@@ -121,8 +121,9 @@ def _(spark, sf_dir):
 
 
 SEARCHES = "SELECT 'Q' || CAST(o_orderkey AS STRING) AS QUERY_ID, o_custkey AS USER_ID, o_orderstatus AS STATUS FROM $orders"
-CLICKS = """SELECT 'Q' || CAST(l_orderkey AS STRING) AS QUERY_ID, l_partkey AS CLICKED_RECORD_ID, l_linenumber AS RANK
-FROM $lineitem WHERE l_returnflag = 'R'"""
+#: Every line is a click; only those of returned lines come from a search.
+CLICKS = """SELECT CASE WHEN l_returnflag = 'R' THEN 'Q' ELSE 'B' END || CAST(l_orderkey AS STRING) AS QUERY_ID,
+ l_partkey AS CLICKED_RECORD_ID, l_linenumber AS RANK FROM $lineitem"""
 
 
 @query(
@@ -162,7 +163,7 @@ def _(spark, sf_dir):
 
 
 CHECKS = """SELECT '0Vx' || CAST(event_id AS STRING) AS CheckId, '0Yx' || CAST(event_id + 1 AS STRING) AS LoginHistoryId, EVENT_TYPE AS Method
-FROM events_ WHERE EVENT_TYPE IN ('error', 'signup')"""
+FROM events_"""
 
 
 @query(
