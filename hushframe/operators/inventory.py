@@ -179,10 +179,13 @@ def manifest_blocks(batch_chunks: DataFrame) -> DataFrame:
     return batch_chunks.where(F.size("members") > 0).select("batch", "type", block.alias("block"))
 
 
-def manifest_document(blocks: list[str]) -> str:
-    """Whole document of ONE batch; its ceiling bounds the blocks."""
+def manifest_documents(blocks: DataFrame) -> DataFrame:
+    """(batch, document): whole documents, types in name order; a batch's ceiling bounds each."""
     head = f'<?xml version="1.0" encoding="UTF-8"?>\n<Package xmlns="{rules.MANIFEST_NAMESPACE}">\n'
-    return head + "".join(b + "\n" for b in blocks) + f"  <version>{rules.MANIFEST_VERSION}</version>\n</Package>\n"
+    tail = f"  <version>{rules.MANIFEST_VERSION}</version>\n</Package>\n"
+    in_order = F.array_sort(F.collect_list(F.struct("type", "block")))
+    lines = F.transform(in_order, lambda b: F.concat(b["block"], F.lit("\n")))
+    return blocks.groupBy("batch").agg(F.concat(F.lit(head), F.array_join(lines, ""), F.lit(tail)).alias("document"))
 
 
 # ---------------------------------------------------------------- paths

@@ -11,10 +11,12 @@ from hushframe import rules
 from hushframe.operators import inventory as inv
 from hushframe.operators.batching import assign_batches, batch_totals, chunks
 from hushframe.operators.gates import Stage, require_empty, run_stages
+from hushframe.session import cut_lineage
 from hushframe.sinks.publish import publish
 
 SENTINEL = "manifest"
 SKIPS = "skipped_types"
+DOCUMENTS = "packages"
 
 
 def preview(
@@ -43,16 +45,15 @@ def export(
     contents: DataFrame | None = None,
     stages: Sequence[Stage] = (),
 ) -> str:
-    """Publish the manifest of what came back; any scrub finding stops it."""
-    blocks = inv.manifest_blocks(chunks(assign_batches(inv.allowed(retrieved))))
+    """Publish the manifest of what came back, as blocks and as one document per batch; any scrub finding stops it."""
+    blocks = cut_lineage(inv.manifest_blocks(chunks(assign_batches(inv.allowed(retrieved)))))
     require_empty(inv.bad_buckets(skips), "unknown skip bucket")
     if contents is not None and stages:
         require_empty(run_stages(contents, stages), "scrub findings")
-    artefacts = {SENTINEL: blocks, SKIPS: inv.skip_report(skips)}
+    artefacts = {SENTINEL: blocks, SKIPS: inv.skip_report(skips), DOCUMENTS: inv.manifest_documents(blocks)}
     return publish(spark, target, artefacts, SENTINEL, preceding=(SKIPS,))
 
 
 def manifest_of(blocks: DataFrame, batch: int) -> str:
     """Document of one batch."""
-    rows = blocks.where(F.col("batch") == batch).orderBy("type").collect()
-    return inv.manifest_document([r["block"] for r in rows])
+    return inv.manifest_documents(blocks.where(F.col("batch") == batch)).first()["document"]

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hushframe import rules
 from hushframe.functions import sqlnames
 from hushframe.operators import audit, gates, incremental, inventory, mask, resolve
 from hushframe.operators.batching import chunks
@@ -378,6 +379,18 @@ def _(spark, sf_dir):
     return inventory.manifest_blocks(chunks(batches(spark, sf_dir)))
 
 
+@query(
+    "k9_manifest_documents",
+    BATCHES_SQL
+    + f"""SELECT batch, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<Package xmlns="{rules.MANIFEST_NAMESPACE}">' || chr(10)
+ || string_agg(block || chr(10), '' ORDER BY type) || '  <version>{rules.MANIFEST_VERSION}</version>' || chr(10) || '</Package>' || chr(10) AS document
+ FROM (SELECT batch, type, '  <types>' || chr(10) || string_agg('    <members>' || member || '</members>' || chr(10), '' ORDER BY member)
+ || '    <name>' || type || '</name>' || chr(10) || '  </types>' AS block FROM batches GROUP BY batch, type) x GROUP BY batch""",
+)
+def _(spark, sf_dir):
+    return inventory.manifest_documents(inventory.manifest_blocks(chunks(batches(spark, sf_dir))))
+
+
 @query(
     "k10_rename_map",
     PATHS_SQL
