@@ -61,6 +61,13 @@ def staged_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read again; two readers do not compute it twice."""
+    path = staged_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors."""
     shared_dir(df.sparkSession)

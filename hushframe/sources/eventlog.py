@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import csv
-import itertools
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushframe.functions.text import strip
-from hushframe.session import staged_path
+from hushframe.session import staged
+from hushframe.sources.blocks import by_block, lines_of, may_split, stretches
 
-#: Bytes of file names and headers of all blocks that travel to every task at most.
+#: Bytes of file names and headers of all stretches that travel to every task at most.
 BLOCK_LIST_BYTES = 32 << 20
 
 
@@ -41,58 +40,72 @@ def headers_per_type(headers: DataFrame) -> DataFrame:
 
 def file_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, size, start, value): the lines of all files by block, in the order of each block."""
-    return spark.read.option("lineSep", "\n").text(paths).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_size").alias("size"),
-        F.col("_metadata.file_block_start").alias("start"),
-        "value",
-    )
+    return lines_of(spark, paths, "\n")
 
 
 def _stripped(header: Column) -> Column:
     return F.regexp_replace(F.rtrim(header, F.lit("\r")), "^\ufeff", "")
 
 
-def distinct_headers(lines: DataFrame) -> list[str]:
-    """The first lines of the files, each once, in the order of the files."""
+def first_lines(lines: DataFrame) -> DataFrame:
+    """(file, line)."""
     numbered = lines.where("start = 0").withColumn("row", F.monotonically_increasing_id())
-    first = numbered.groupBy("file").agg(_stripped(F.min_by("value", "row")).alias("header"))
-    found = first.groupBy("header").agg(F.min("file").alias("file")).orderBy("file")
-    return [row["header"] for row in found.collect()]
-
-
-def _bytes_of(spark: SparkSession, setting: str) -> int:
-    return spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(setting))
+    return numbered.groupBy("file").agg(F.min_by("value", "row").alias("line"))
 
 
-def maybe_split(lines: DataFrame) -> DataFrame:
-    """Lines of files that are large enough to be read in several blocks; others are not even opened."""
-    spark = lines.sparkSession
-    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
-    return lines.where(F.col("size") > min(_bytes_of(spark, n) for n in names))
+def distinct_headers(first: DataFrame) -> list[str]:
+    """The first lines of the files, each once, in the order of the files."""
+    found = first.groupBy(_stripped(F.col("line")).alias("header")).agg(F.min("file").alias("file")).orderBy("file")
+    return [row["header"] for row in found.collect()]
 
 
 def file_blocks(lines: DataFrame) -> DataFrame:
-    """(file, start, open, crossed, header), one row per block of a file.
+    """(file, start, part, odd, line, value): the text of each block in stretches of whole lines.
+
+    ``odd`` tells whether a stretch holds an odd number of quotes, ``line`` is the first line of a file.
+    """
 
-    A block turns the state "inside a quoted cell" if it holds an odd number of quotes.
-    These maps are composed along a file, so ``open`` tells the state in which a block
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, part = None, 0
+        for batch in batches:
+            for key, rows in by_block(batch):
+                if key != block:
+                    block, part = key, 0
+                texts = stretches(rows.column("value"), "\n")
+                n = len(texts)
+                line = [rows.column("value")[0].as_py() if key[1] == 0 and part == 0 else None, *[None] * (n - 1)]
+                columns = [
+                    pa.array([key[0]] * n, pa.string()),
+                    pa.array([key[1]] * n, pa.int64()),
+                    pa.array(range(part, part + n), pa.int32()),
+                    pc.bit_wise_and(pc.count_substring(texts, '"'), pa.scalar(1, pa.int32())),
+                    pa.array(line, pa.string()),
+                    texts,
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["file", "start", "part", "odd", "line", "value"])
+                part += n
+
+    shape = "file string, start bigint, part int, odd int, line string, value string"
+    return lines.select("file", "start", "value").mapInArrow(run, shape)
+
+
+def block_states(blocks: DataFrame) -> DataFrame:
+    """(file, start, part, open, crossed, header), one row per stretch of a block.
+
+    A stretch turns the state "inside a quoted cell" if it holds an odd number of quotes.
+    These maps are composed along a file, so ``open`` tells the state in which a stretch
     begins, and ``crossed`` whether a row reaches over either of its ends.  ``header`` is
     the first line of the file.  A quote counts wherever it stands, as in files that
     quote every cell holding one; a header is one line.
     """
-    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
-    first = F.when(F.col("start") == 0, F.struct(F.monotonically_increasing_id().alias("row"), "value"))
-    blocks = lines.withColumn("first", first).groupBy("file", "start").agg(
-        F.pmod(F.sum(quotes), F.lit(2)).cast("int").alias("odd"), F.min("first")["value"].alias("line")
-    )
-    along = Window.partitionBy("file").orderBy("start")
+    along = Window.partitionBy("file").orderBy("start", "part")
     state = F.pmod(F.sum("odd").over(along), F.lit(2))
     whole = Window.partitionBy("file")
     header = _stripped(F.first("line", ignorenulls=True).over(whole))
     return blocks.select(
         "file",
         "start",
+        "part",
         (F.pmod(state - F.col("odd"), F.lit(2)) == 1).alias("open"),
         ((state == 1) | (F.pmod(state - F.col("odd"), F.lit(2)) == 1)).alias("crossed"),
         header.alias("header"),
@@ -147,35 +160,41 @@ def _record(lines: list[str]) -> str:
     return "\n".join(lines).removesuffix("\r")
 
 
-def _segments(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
-    """The stretches of a batch that lie in one block."""
-    files, starts = batch.column("file").to_pylist(), batch.column("start").to_pylist()
-    at = 0
-    for key, group in itertools.groupby(zip(files, starts)):
-        n = sum(1 for _ in group)
-        yield key, batch.slice(at, n)
-        at += n
+def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int, int], pa.RecordBatch, list[str]]]:
+    """The rows of a batch that belong together, with their lines: a stretch, or the lines of a file read in one go."""
+    if "part" not in batch.schema.names:
+        for key, rows in by_block(batch):
+            yield (*key, 0), rows, rows.column("value").to_pylist()
+        return
+    for k in range(batch.num_rows):
+        row = batch.slice(k, 1)
+        yield tuple(row.column(c)[0].as_py() for c in ("file", "start", "part")), row, row.column("value")[0].as_py().split("\n")
+
+
+def _odd(lines: list[str]) -> list[int]:
+    return [line.count('"') & 1 for line in lines]
 
 
 def _whole_rows(lines: DataFrame, wanted: list[str]) -> DataFrame:
-    """Rows that begin and end in one block.
+    """Rows that begin and end in one stretch.
 
-    ``lines`` come block by block, in order, with the state and the header of blocks that do not begin a file.
+    ``lines`` are stretches with the state that they begin in and their file's header, or
+    the lines of files that are one block each.
     """
+    told = "part" in lines.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, block, inside, held, header = _Rows(wanted), None, False, None, ""
         for batch in batches:
-            for key, part in _segments(batch):
-                values, skip = part.column("value").to_pylist(), 0
-                if key != block:  # a row left over from the last block is a fragment, see _fragments
-                    block, inside = key, part.column("open")[0].as_py()
+            for key, part, values in _stretches(batch):
+                skip = 0
+                if key != block:  # a row left over from the last stretch is a fragment, see _fragments
+                    block, inside = key, told and part.column("open")[0].as_py()
                     held = None if inside else []
-                    skip = int(key[1] == 0)
+                    skip = int(key[1:] == (0, 0))
                     header = values[0].removesuffix("\r").removeprefix("\ufeff") if skip else part.column("header")[0].as_py()
-                odd = np.asarray(pc.count_substring(part.column("value"), '"')) & 1
                 records = []
-                for value, turns in zip(values[skip:], odd[skip:].tolist()):
+                for value, turns in zip(values[skip:], _odd(values[skip:])):
                     inside ^= bool(turns)
                     if held is not None:
                         held.append(value)
@@ -191,7 +210,7 @@ def _whole_rows(lines: DataFrame, wanted: list[str]) -> DataFrame:
 
 
 def _fragments(lines: DataFrame) -> DataFrame:
-    """(file, start, closes, header, text): the pieces of rows that cross the ends of blocks, two per block at most.
+    """(file, start, part, closes, header, text): the pieces of rows that cross the ends of stretches, two of each at most.
 
     ``closes`` tells a piece that ends a row from one that begins it or is its middle.
     """
@@ -200,22 +219,19 @@ def _fragments(lines: DataFrame) -> DataFrame:
         block, inside, held, head, header = None, False, [], False, ""
 
         def out(closes: bool) -> pa.RecordBatch:
-            columns = [[block[0]], [block[1]], [closes], [header], ["\n".join(held)]]
-            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.string())
+            columns = [*([k] for k in block), [closes], [header], ["\n".join(held)]]
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string(), pa.string())
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], ["file", "start", "closes", "header", "text"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["file", "start", "part", "closes", "header", "text"]
             )
 
         for batch in batches:
-            for key, part in _segments(batch):
-                values, skip = part.column("value").to_pylist(), 0
-                if key != block:
-                    if block is not None and inside:
-                        yield out(False)
-                    block, inside, held = key, part.column("open")[0].as_py(), []
-                    header, head, skip = part.column("header")[0].as_py(), inside, int(key[1] == 0)
-                odd = np.asarray(pc.count_substring(part.column("value"), '"')) & 1
-                for value, turns in zip(values[skip:], odd[skip:].tolist()):
+            for key, part, values in _stretches(batch):
+                if block is not None and inside:
+                    yield out(False)
+                block, inside, held = key, part.column("open")[0].as_py(), []
+                header, head, skip = part.column("header")[0].as_py(), inside, int(key[1:] == (0, 0))
+                for value, turns in zip(values[skip:], _odd(values[skip:])):
                     inside ^= bool(turns)
                     held.append(value)
                     if not inside:
@@ -225,16 +241,16 @@ def _fragments(lines: DataFrame) -> DataFrame:
         if block is not None and inside:
             yield out(False)
 
-    return lines.mapInArrow(run, "file string, start bigint, closes boolean, header string, text string")
+    return lines.mapInArrow(run, "file string, start bigint, part int, closes boolean, header string, text string")
 
 
 def _crossing_rows(lines: DataFrame, wanted: list[str]) -> DataFrame:
-    """Rows put together from the pieces that blocks hold of them."""
-    along = Window.partitionBy("file").orderBy("start", F.col("closes").desc())
+    """Rows put together from the pieces that stretches hold of them."""
+    along = Window.partitionBy("file").orderBy("start", "part", F.col("closes").desc())
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    # A piece that closes a row ends its group; in a block it stands before the one that opens the next.
+    # A piece that closes a row ends its group; in a stretch it stands before the one that opens the next.
     pieces = _fragments(lines).withColumn("row", F.coalesce(F.count_if("closes").over(before), F.lit(0)))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda p: p["text"])
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("start", "part", "text"))), lambda p: p["text"])
     joined = pieces.groupBy("file", "row", "header").agg(F.array_join(texts, "\n").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,33 +272,33 @@ def read_bodies(spark: SparkSession, paths: str | list[str], columns: list[str]
     a header the last counts.  The result has ``columns``, or all names of all files in
     the order of the files.  All cells are text: columns that a file lacks and short
     rows are padded with '', cells beyond the header are cut, empty lines are no rows.
-    Files that are too small to be split are read once, by their own first line; the
-    others are scanned for quotes first.  What comes to the driver is one row per
-    distinct header, and that only if ``columns`` are not given.
+    Files that are too small to be split are read by their own first line; the others
+    are read once, into staged stretches of whole lines with their quotes counted, and
+    all else is made of these.  What comes to the driver is one row per distinct header,
+    and that only if ``columns`` are not given.
     """
     lines = file_lines(spark, paths)
+    large = lines.where(may_split(spark))
+    small = lines.where(~may_split(spark))
+    blocks = None if large.isEmpty() else staged(file_blocks(large), "blocks")
     wanted = columns
     if wanted is None:
-        wanted = list(dict.fromkeys(n for header in distinct_headers(lines) for n in _names(header) if n))
+        first = first_lines(small)
+        if blocks is not None:
+            first = first.unionByName(blocks.where("line IS NOT NULL").select("file", "line"))
+        wanted = list(dict.fromkeys(n for header in distinct_headers(first) for n in _names(header) if n))
     if not wanted:
         return spark.createDataFrame([], T.StructType([]))
-    large = maybe_split(lines)
-    if large.isEmpty():
-        return _whole_rows(lines.withColumns({"open": F.lit(False), "header": F.lit("")}), wanted)
-    path = staged_path(spark, "blocks")
-    file_blocks(large).write.parquet(path)
-    blocks = spark.read.parquet(path)
-    size = blocks.agg(
+    rows = _whole_rows(small.select("file", "start", "value"), wanted)
+    if blocks is None:
+        return rows
+    states = staged(block_states(blocks), "states")
+    size = states.agg(
         F.sum(F.octet_length("file") + F.octet_length("header")).alias("bytes"), F.count_if("crossed").alias("crossed")
     ).first()
-    if (size["bytes"] or 0) <= BLOCK_LIST_BYTES:
-        stated = lines.join(F.broadcast(blocks), ["file", "start"], "left")
-    else:  # too many blocks to send along: lines meet their block's state in the order of the block
-        numbered = lines.withColumn("at", F.monotonically_increasing_id())
-        stated = numbered.join(blocks, ["file", "start"], "left").repartition("file", "start").sortWithinPartitions("file", "start", "at")
-    no = F.lit(False)
-    stated = stated.select("file", "start", F.coalesce("open", no).alias("open"), F.coalesce("crossed", no).alias("crossed"), "header", "value")
-    rows = _whole_rows(stated, wanted)
+    known = F.broadcast(states) if size["bytes"] <= BLOCK_LIST_BYTES else states  # too many to send along: both sides meet
+    stated = blocks.join(known, ["file", "start", "part"]).select("file", "start", "part", "open", "crossed", "header", "value")
+    rows = rows.unionByName(_whole_rows(stated, wanted))
     if not size["crossed"]:
         return rows
     return rows.unionByName(_crossing_rows(stated.where("crossed"), wanted))

@@ -188,6 +188,23 @@ def test_one_quoted_file_is_read_by_several_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.openCostInBytes", old[1])
 
 
+def test_small_files_beside_a_large_one_do_not_move_its_blocks(spark, tmp_path):
+    """A scan without the small files cuts the large one elsewhere than a scan with them."""
+    want = [(str(k), "two\nlines, " * (k % 5)) for k in range(1200)]
+    with (tmp_path / "large.csv").open("w", newline="") as out:
+        csv.writer(out, lineterminator="\n").writerows([("A", "B"), *want])
+    for k in range(10):
+        (tmp_path / f"small{k}.csv").write_text("B,A\n" + "".join(f"b,{k}.{n}\n" for n in range(200)))
+        want += [(f"{k}.{n}", "b") for n in range(200)]
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "2000b")
+        for columns in (["A", "B"], None):
+            assert sorted(map(tuple, read_bodies(spark, str(tmp_path), columns).select("A", "B").collect())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+
+
 def test_badly_formed_rows_stay_alone(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b'A,B\nx"y,"z\n1,2\n5" pipe,3" pipe\nc\rd,e\n')
     rows = sorted(map(tuple, read_bodies(spark, str(tmp_path)).collect()))
