@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text in one row; a longer line is one row.
 STRETCH = 1 << 20
+#: Tasks per core that read blocks at most.
+TASKS = 16
 
 
 def lines_of(spark: SparkSession, paths: str | list[str], separator: str) -> DataFrame:
@@ -40,6 +42,11 @@ def may_split(spark: SparkSession) -> Column:
     return F.col("size") > min(_bytes_of(spark, n) for n in names)
 
 
+def in_tasks(lines: DataFrame) -> DataFrame:
+    """``lines`` in a bounded number of tasks, which is that of the staged files; blocks stay whole and in order."""
+    return lines.coalesce(TASKS * lines.sparkSession.sparkContext.defaultParallelism)
+
+
 def by_block(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
     """The stretches of a batch that lie in one block, with the block (file, start)."""
     if not batch.num_rows:

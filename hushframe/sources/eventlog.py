@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from hushframe.functions.text import strip
 from hushframe.session import staged
-from hushframe.sources.blocks import by_block, lines_of, may_split, stretches
+from hushframe.sources.blocks import by_block, in_tasks, lines_of, may_split, stretches
 
 #: Bytes of file names and headers of all stretches that travel to every task at most.
 BLOCK_LIST_BYTES = 32 << 20
@@ -86,7 +86,7 @@ def file_blocks(lines: DataFrame) -> DataFrame:
                 part += n
 
     shape = "file string, start bigint, part int, odd int, line string, value string"
-    return lines.select("file", "start", "value").mapInArrow(run, shape)
+    return in_tasks(lines.select("file", "start", "value")).mapInArrow(run, shape)
 
 
 def block_states(blocks: DataFrame) -> DataFrame:

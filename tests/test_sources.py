@@ -254,3 +254,21 @@ def test_one_report_is_split_over_several_tasks(spark, tmp_path):
     finally:
         for name, value in old.items():
             spark.conf.set(name, value)
+
+
+def test_small_reports_beside_a_large_one_do_not_move_its_blocks(spark, tmp_path):
+    import json
+
+    from hushframe.sources import reports
+
+    def report(name, n):
+        (tmp_path / name).write_text(json.dumps({"violations": [{"rule": f"{name}{k}", "message": '}"{[' * (k % 7)} for k in range(n)]}))
+        return [f"{name}{k}" for k in range(n)]
+
+    want = report("large", 900) + [rule for k in range(10) for rule in report(f"small{k}", 30)]
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "2000b")
+        assert sorted(r["rule"] for r in reports.read_report_files(spark, str(tmp_path)).collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
