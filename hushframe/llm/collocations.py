@@ -45,6 +45,8 @@ DEPTH = 3
 #: Phrases that a task holds before subtrees are spilled, and rows of a batch that leaves.
 FULL = 1 << 22
 BATCH = 1 << 16
+#: Bytes of text whose words a task holds at once, with about forty bytes of arrays per byte of text.
+SLICE = 1 << 21
 #: Bits of the map of frequent phrases, and of one piece of it.
 MAP = 1 << 26
 PIECE = 1 << 15
@@ -166,7 +168,7 @@ class Slice:
         seeds = {lang: _lang_seed(lang) for lang in set(langs)}
         seed = np.array([seeds[lang] for lang in langs], np.uint64)
         self.first = mixed(self.hashes ^ seed[self.text]) if len(self.hashes) else self.hashes
-        passed = np.cumsum(_SEPARATORS[self.words.data], dtype=np.int64)
+        passed = np.cumsum(_SEPARATORS[self.words.data], dtype=np.int32)
         # Differs across a separator and across texts.
         self.piece = passed[self.words.begin] + self.text
 
@@ -216,7 +218,7 @@ def _runs(rows: DataFrame, size: int, frequent: np.ndarray | None) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = HatTrie(size)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             held = Slice(batch.column("text"), batch.column("lang").to_pylist())
             places, whole = held.phrases(size, frequent)
             order, start = _grouped(whole)
@@ -290,7 +292,7 @@ def _spelled(rows: DataFrame, longest: int, frequent: np.ndarray, named: np.ndar
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, totals = [np.zeros(0, np.uint64)] * (longest + 1), {}
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             langs = batch.column("lang").to_pylist()
             held, witness = Slice(batch.column("text"), langs), _witness(batch)
             for lang, n in zip(langs, np.diff(held.words.bounds).tolist()):

@@ -352,3 +352,22 @@ def test_a_sample_of_many_points_is_thinned(spark, monkeypatch):
     points = spark.range(4000).select(F.xxhash64("id").alias("fp"))
     near = points.select((F.col("fp").bitwiseXOR(F.lit(5))).alias("fp"))
     assert simhash.links(points.unionByName(near)).distinct().count() == 4000
+
+
+def test_collocations_hold_the_words_of_few_texts_at_once():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from hushframe.llm import collocations as c
+    from hushframe.llm.common import slices
+
+    texts = pa.array([f"w{k} some words, and more words " * 300 for k in range(1800)])
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    tracemalloc.start()
+    for part in slices(iter([batch]), "text", c.SLICE):
+        c.Slice(part.column("text"), ["en"] * part.num_rows).phrases(2, np.full(c.MAP >> 3, 255, np.uint8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 15 << 20 and peak < 160 << 20
