@@ -1,5 +1,6 @@
 """Plans: what reaches the scan, and what must never appear."""
 
+import datetime as dt
 import re
 
 import pytest
@@ -40,6 +41,22 @@ def test_masking_needs_no_shuffle_and_is_compiled(spark):
     assert "Exchange" not in plan and "*(1) Project" in plan
 
 
+def test_event_run_masks_in_methods_that_the_jvm_compiles(spark, tmp_path, monkeypatch):
+    from hushframe.plans import eventlogs
+    from workload.runs import _logins_by_day
+
+    written, write = [], eventlogs.write_dated_csv
+    monkeypatch.setattr(eventlogs, "write_dated_csv", lambda table, path: (written.append(table.frame), write(table, path)))
+    _logins_by_day(spark, SMALL).write.parquet(str(tmp_path / "rows"))
+    for name, rows in (("made", _logins_by_day(spark, SMALL)), ("read", spark.read.parquet(str(tmp_path / "rows")))):
+        eventlogs.run(spark, str(tmp_path / name), {"Login": rows}, dt.date(2024, 1, 18))
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", plan_of(written[-1], "codegen"))]
+        assert 0 < max(sizes) < 8000
+    inside = rows.where("log_date BETWEEN '2023-12-20' AND '2024-01-17'").count()
+    assert [e["rows"] for name in ("made", "read") for e in eventlogs.finished_runs(spark, str(tmp_path / name))] == [inside, inside]
+    assert "QUERY" not in re.search(r"ReadSchema: .*", plan_of(written[-1]))[0]
+
+
 def test_small_caps_are_applied_before_the_shuffle(spark):
     plan = plan_of(entry.queries()["f13_row_cap"](spark, SMALL), "simple")
     assert plan.index("WindowGroupLimit") < plan.index("Exchange")
