@@ -188,10 +188,13 @@ _FINDING = (
 def read_reports(bodies: DataFrame) -> DataFrame:
     """Counts and engine versions of analysis reports, NULL when unreadable.
 
-    Findings are not in the schema, so the parser skips over them.
+    Findings are not in the schema, so the parser skips over them.  A body that is an
+    expression is used twice here, so the optimizer does not copy it into the parser,
+    whose arguments are not compiled.
     """
     keys = [c for c in bodies.columns if c != "body"]
-    return bodies.withColumn("_p", F.from_json("body", _REPORT_HEAD)).select(*keys, "_p.*")
+    parsed = F.when(F.col("body").isNotNull(), F.from_json("body", _REPORT_HEAD))
+    return bodies.withColumn("_p", parsed).select(*keys, "_p.*")
 
 
 def primary_location() -> Column:

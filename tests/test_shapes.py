@@ -80,6 +80,19 @@ def test_json_is_parsed_once(spark):
         assert plan_of(entry.queries()[name](spark, SMALL), "simple").count("from_json(") <= 2, name
 
 
+def test_report_bodies_are_made_outside_the_parser(spark):
+    from hushframe.sources import payloads
+
+    plan = plan_of(entry.queries()["k12_analysis_documents"](spark, SMALL), "simple")
+    (parse,) = [line for line in plan.splitlines() if "from_json" in line]
+    assert "StructsToJsonEvaluator" not in parse and plan.count("from_json") == 1
+    bodies = [(1, '{"runDir": "/r", "violationCounts": {"total": 2}, "versions": {"pmd": "7"}}'), (2, "{broken"), (3, None), (4, "{}")]
+    found = payloads.read_reports(spark.createDataFrame(bodies, "k int, body string")).orderBy("k").collect()
+    assert [(r["k"], r["runDir"], r["violationCounts"] and r["violationCounts"]["total"], r["versions"]) for r in found] == [
+        (1, "/r", 2, {"pmd": "7"}), (2, None, None, None), (3, None, None, None), (4, None, None, None),
+    ]
+
+
 def test_small_side_is_counted_before_broadcast(spark):
     from hushframe.session import broadcast_if_small
 
