@@ -61,9 +61,12 @@ def staged_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again; two readers do not compute it twice."""
-    path = staged_path(df.sparkSession, name)
+def staged(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read again; two readers do not compute it twice.
+
+    With ``root`` it lies in that folder, which whoever made it may drop as a whole.
+    """
+    path = staged_path(df.sparkSession, name) if root is None else f"{root}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -272,3 +272,41 @@ def test_small_reports_beside_a_large_one_do_not_move_its_blocks(spark, tmp_path
         assert sorted(r["rule"] for r in reports.read_report_files(spark, str(tmp_path)).collect()) == sorted(want)
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", old)
+
+
+def test_one_batch_of_reports_lies_on_disk_at_a_time(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    import duckdb
+
+    import __spark_entry__ as entry
+    from hushframe.session import shared_dir
+    from workload import landing
+
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumn("l_orderkey", F.col("l_orderkey") * 100)
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    texts = lambda: {p: p.stat().st_size for p in Path(shared_dir(spark)).rglob("*.txt")}
+    before, written, most, read = texts(), {}, [], landing.read_report_files
+
+    def watched(*given):
+        now = {p: size for p, size in texts().items() if p not in before}
+        written.update(now)
+        most.append(sum(now.values()))
+        return read(*given)
+
+    monkeypatch.setattr(landing, "read_report_files", watched)
+    monkeypatch.setattr(landing, "REPORT_ROWS", 1700, raising=False)
+    monkeypatch.setattr(landing, "CORE_ROWS", 1, raising=False)
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "20000b")  # the reports are read in several blocks
+        found = entry.queries()["s12_report_files"](spark, str(tmp_path))
+        got = [tuple(r) for r in found.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["s12_report_files"])
+    assert found.columns == [d[0] for d in want.description]
+    assert sorted(got, key=str) == sorted(want.fetchall(), key=str) and len(got) > 6000
+    assert len({r[0] for r in got}) > 5 and 2 * max(most) < sum(written.values())

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 from pathlib import Path
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe import rules
@@ -12,7 +14,8 @@ from hushframe.operators import inventory
 from hushframe.operators.incremental import header_scan
 from hushframe.operators.ranking import next_page, pages
 from hushframe.plans import eventlogs, records
-from hushframe.session import staged_path
+from hushframe.session import staged, staged_path
+from hushframe.sinks.files import delete
 from hushframe.sources import payloads
 from hushframe.sources.catalogue import catalogue
 from hushframe.sources.eventlog import columns_by_type, field_names, read_bodies
@@ -370,11 +373,30 @@ def _(spark, sf_dir):
 
 
 _REPORTED = "SELECT CAST(floor(l_orderkey / 20000) AS BIGINT) AS report, * FROM v"
-
-
-def report_files(spark, sf_dir):
-    """Folder with one large document per 20,000 orders; every finding holds braces in strings and a nested array."""
-    path = staged_path(spark, "reports")
+#: Findings whose reports lie on disk at once, in all and per core; the larger number counts, and a report is whole.
+REPORT_ROWS, CORE_ROWS = 16_000_000, 1_000_000
+
+
+def report_batches(spark, rows):
+    """Conditions that part the findings into batches of whole reports, by ranges of keys; the driver sees one row per report."""
+    most = max(REPORT_ROWS, CORE_ROWS * spark.sparkContext.defaultParallelism)
+    key = F.col("l_orderkey")
+    counts = rows.groupBy("report").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max(key).alias("last"))
+    batches = []
+    for n, first, last in counts.orderBy("report").select("n", "first", "last").toLocalIterator():
+        if batches and batches[-1][0] + n <= most:
+            held, begin, _ = batches.pop()
+            n, first = held + n, first if begin is None else begin
+        batches.append((n, first, last))
+    ranges = [key.between(F.lit(first), F.lit(last)) for _, first, last in batches]
+    return [ranges[0] | key.isNull(), *ranges[1:]] if ranges else [F.lit(True)]
+
+
+def report_files(rows, path):
+    """Folder with one large document per 20,000 orders; every finding holds braces in strings and a nested array.
+
+    What is shuffled and sorted are the cells; the text is made of them as it is written.
+    """
     place = lambda file: F.struct(file.alias("file"), F.col("line").alias("startLine"))
     finding = F.struct(
         "rule", "engine", "severity", F.split("tag_list", ",").alias("tags"), F.lit(0).alias("primaryLocationIndex"),
@@ -382,14 +404,16 @@ def report_files(spark, sf_dir):
         F.concat(F.lit('\\ "violations": [{'), F.col("rule"), F.lit('}] "')).alias("message"),
         F.array(F.struct(F.array(F.struct(F.lit("x").alias("rule"))).alias("violations"))).alias("resources"),
     )
-    rows = bind(spark, sf_dir, with_(v=b.VIOLATIONS) + _REPORTED)
-    told = rows.select("report", F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.concat(F.to_json(finding), F.lit(",")).alias("value"))
+    told = rows.select(
+        "report", F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), "rule", "engine", "severity", "tag_list", "file", "line"
+    )
     ends = rows.select("report").distinct().select("report", F.explode(F.array(
-        F.struct(F.lit(-1).cast("long").alias("k"), F.lit('{"runDir": "/violations", "tools": [{"rule": "none"}], "violations": [').alias("value")),
-        F.struct(F.lit(2**62).alias("k"), F.lit('{"rule": "last"}], "versions": {"pmd": "1"}, "other": [{"rule": "none"}]}').alias("value")),
-    )).alias("e")).select("report", "e.k", F.lit(0).alias("n"), "e.value")
-    lines = told.union(ends).repartition("report").sortWithinPartitions("report", "k", "n")
-    lines.select("report", "value").write.partitionBy("report").text(path)
+        F.struct(F.lit(-1).cast("long").alias("k"), F.lit('{"runDir": "/violations", "tools": [{"rule": "none"}], "violations": [').alias("end")),
+        F.struct(F.lit(2**62).alias("k"), F.lit('{"rule": "last"}], "versions": {"pmd": "1"}, "other": [{"rule": "none"}]}').alias("end")),
+    )).alias("e")).select("report", "e.k", F.lit(0).alias("n"), "e.end")
+    lines = told.unionByName(ends, allowMissingColumns=True).repartition("report").sortWithinPartitions("report", "k", "n")
+    value = F.coalesce("end", F.concat(F.to_json(finding), F.lit(",")))
+    lines.select("report", value.alias("value")).write.partitionBy("report").text(path)
     return path
 
 
@@ -400,8 +424,18 @@ def report_files(spark, sf_dir):
  UNION ALL SELECT DISTINCT CAST(report AS STRING), 'last', NULL, CAST(NULL AS INTEGER), NULL, NULL, CAST(NULL AS INTEGER), NULL FROM r""",
 )
 def _(spark, sf_dir):
-    found = read_report_files(spark, report_files(spark, sf_dir))
-    return found.withColumns({"report": F.regexp_extract("report", "report=([0-9]+)", 1), "tags": F.array_join("tags", ",")})
+    rows = bind(spark, sf_dir, with_(v=b.VIOLATIONS) + _REPORTED)
+    batches = report_batches(spark, rows)
+    parts = []
+    for k, batch in enumerate(batches, 1):
+        root = staged_path(spark, "reports")
+        found = read_report_files(spark, report_files(rows.where(batch), f"{root}/files"), root)
+        found = found.withColumns({"report": F.regexp_extract("report", "report=([0-9]+)", 1), "tags": F.array_join("tags", ",")})
+        if k < len(batches):  # the files of the last batch stay, as its findings are read when they are asked for
+            found = staged(found, "report-findings")
+            delete(spark, root)
+        parts.append(found)
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
