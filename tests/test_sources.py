@@ -274,6 +274,33 @@ def test_small_reports_beside_a_large_one_do_not_move_its_blocks(spark, tmp_path
         spark.conf.set("spark.sql.files.openCostInBytes", old)
 
 
+def test_short_reports_are_cut_into_fewer_rows(spark, tmp_path, monkeypatch):
+    from hushframe.sources import reports
+
+    found = [{"rule": f"r{n}", "locations": [{"file": "}, {", "startLine": n}, {"file": "b"}], "message": '},"' * (n % 4)} for n in range(400)]
+    (tmp_path / "dense.json").write_text(json.dumps({"violations": found}, separators=(",", ":")))
+    (tmp_path / "apart.json").write_text(json.dumps({"violations": found}, indent=2).replace("},\n", "}\n,"))
+    (tmp_path / "cut.json").write_text('{"violations": [{"rule": "whole"},{"rule": "value", "x": {"y": 1}},{"rule": "par')
+    want = sorted([f["rule"] for f in found] * 2 + ["whole", "value"])
+    cut, rows = reports.in_tasks, []
+    monkeypatch.setattr(reports, "in_tasks", lambda lines: rows.append(lines.count()) or cut(lines))
+    old = {n: spark.conf.get(n) for n in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("128m", "700b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "4m" if size == "128m" else "0b")
+            read = {}
+            for short in (32 << 20, 0):
+                monkeypatch.setattr(reports, "SHORT", short, raising=False)
+                rows.clear()
+                assert sorted(r["rule"] for r in reports.read_report_files(spark, str(tmp_path)).collect()) == want
+                read[short] = sum(rows)
+            assert 3 * read[32 << 20] < 2 * read[0]
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+
+
 def test_one_batch_of_reports_lies_on_disk_at_a_time(spark, tmp_path, monkeypatch):
     from pathlib import Path
 
